@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadica.llm.common import chunked, components, materialise, word_lists
@@ -90,13 +90,13 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     held = F.call_function("shiftrightunsigned", F.col("fp"), low).bitwiseAND(mask.cast("long"))
     deleted = F.call_function("shiftleft", F.lit(1).cast("long"), (bit - low).cast("int"))
     variants = variants.select("fp", (F.col("bit").cast("long") * F.lit(1 << 22) + held.bitwiseAND(F.bitwise_not(deleted))).alias("key"))
-    crowded = variants.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = materialise(variants.join(crowded, "key"), "variants")
+    bucket = Window.partitionBy("key")
+    shared = materialise(variants.withColumns({"hub": F.min("fp").over(bucket), "n": F.count("*").over(bucket)}).where("n > 1").drop("n"), "variants")
     masks = [((1 << w) - 1) << lo for lo, w in SEGMENTS]
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     a, b = shared.select("key", "hub", F.col("fp").alias("a")), shared.select("key", F.col("fp").alias("b"))
     d = lambda x, y: f"bit_count({x} ^ {y})"
-    differ = lambda i: f"bit_count((a ^ b) & {masks[i]}L)" if masks[i] != -(1 << 63) else "0"
+    differ = lambda i: f"bit_count((a ^ b) & {masks[i]}L)"
     at = "cast(key div 4194304 as int)"
     first_bit = "CASE WHEN {n} = 0 THEN {at} = {lo} ELSE shiftrightunsigned(a ^ b, {at}) & 1 = 1 END"
     rule = (
