@@ -96,10 +96,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, control: Control = Control()
     grid = [(rule, ratio, at, cut) for rule, ratio, cuts in control.rules for at, cut in enumerate(cuts)]
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.expr(f"{ratio} > {cut!r}D")).alias(f"k{i}") for i, (_, ratio, _, cut) in enumerate(grid)])
     tests = ", ".join(f"named_struct('rule', '{rule}', 'cut', {cut!r}D, 'k', k{i})" for i, (rule, _, _, cut) in enumerate(grid))
-    strata = measured.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    tested = counts.select("stratum", "n", F.explode(F.expr(f"array({tests})")).alias("t")).select("stratum", "n", "t.*").crossJoin(F.broadcast(strata))
+    strata = measured.select("stratum").distinct().count()
+    tested = counts.select("stratum", "n", F.explode(F.expr(f"array({tests})")).alias("t")).select("stratum", "n", "t.*")
     rate = control.risk / len(control.rules)
-    safe = tested.where(f"{binomial_tail('n', 'k', rate)} <= {control.error!r}D / (strata * {len(grid)})")
+    safe = tested.where(f"{binomial_tail('n', 'k', rate)} <= {control.error!r}D / {max(1, strata) * len(grid)}")
     return safe.groupBy("stratum", "rule").agg(F.min("cut").alias("cut")).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cut"))
 
 
