@@ -179,9 +179,36 @@ def _sweep(table: DataFrame, state: Seating, seed: int) -> np.ndarray:
     return out
 
 
+def pack(c: np.ndarray, root: np.ndarray, word: np.ndarray, context: np.ndarray, own: np.ndarray) -> pa.Array:
+    """For each word its count (8 bytes) and root probability (4), then for each context its number (1) and own probability (4)."""
+    many = np.bincount(word, minlength=len(c))
+    size = 12 + 5 * many
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(offsets[-1], np.uint8)
+    out[offsets[:-1, None] + np.arange(8)] = c.astype("<i8").view(np.uint8).reshape(-1, 8)
+    out[offsets[:-1, None] + np.arange(8, 12)] = root.astype("<f4").view(np.uint8).reshape(-1, 4)
+    at = offsets[word] + 12 + 5 * (np.arange(len(word)) - (np.cumsum(many) - many)[word])
+    out[at] = context
+    out[at[:, None] + np.arange(1, 5)] = own.astype("<f4").view(np.uint8).reshape(-1, 4)
+    return pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpack(held: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(count, root probability, and of each entry word, context, own probability) of packed words."""
+    held = held.cast(pa.large_binary())
+    offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    raw = np.frombuffer(held.buffers()[2], np.uint8) if len(held) else np.zeros(0, np.uint8)
+    begin, many = offsets[:-1], (np.diff(offsets) - 12) // 5
+    c = raw[begin[:, None] + np.arange(8)].view("<i8").ravel()
+    root = raw[begin[:, None] + np.arange(8, 12)].view("<f4").ravel().astype(float)
+    word = np.repeat(np.arange(len(held)), many)
+    at = begin[word] + 12 + 5 * (np.arange(len(word)) - (np.cumsum(many) - many)[word])
+    return c, root, word, raw[at], raw[at[:, None] + np.arange(1, 5)].view("<f4").ravel().astype(float)
+
+
 @dataclass
 class Model:
-    """Probabilities by word (a table), and what all words share."""
+    """Probabilities by word (a table of word and packed probabilities), and what all words share."""
 
     words: DataFrame
     train_tokens: int
@@ -191,7 +218,7 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", burn: int = 2, keep: int = 3, strength: float = 1.0, seed: int = 7) -> Model:
-    """Fit on all rows of docs. ``words``: (word, c, root, entries: array of (ctx, own)), probabilities averaged over ``keep`` sweeps."""
+    """Fit on all rows of docs. Probabilities are averaged over ``keep`` sweeps."""
     table = materialise(word_table(docs.select(F.col(text_col).alias("text"))), "words")
     entry = F.explode("entries").alias("e")
     by_context = {r["ctx"]: r for r in table.select(entry).groupBy("e.ctx").agg(F.sum("e.n").alias("n"), F.count("*").alias("t"), F.count_if(F.col("e.n") == 1).alias("n1"), F.count_if(F.col("e.n") == 2).alias("n2")).collect()}
@@ -218,11 +245,9 @@ def train(docs: DataFrame, text_col: str = "text", burn: int = 2, keep: int = 3,
                 t, c0, t0 = given.reseat(np.random.default_rng([draw, int(keys[0])]), word, context, n, len(keys))
                 root += (c0 - s.root_discount * t0 + s.base()) / (s.strength + s.customers[-1]) / len(kept)
                 own += (n - s.discount * t) / (s.strength + s.customers[context]) / len(kept)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(keys)))]).astype(np.int32))
-            entries = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(context.astype(np.int8)), pa.array(own.astype(np.float32))], names=["ctx", "own"]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c), pa.array(root), entries], names=["word", "c", "root", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pack(c, root, word, context, own)], names=["word", "held"])
 
-    words = table.mapInArrow(kernel, "word long, c long, root double, entries array<struct<ctx:tinyint,own:float>>")
+    words = table.mapInArrow(kernel, "word long, held binary")
     return Model(words, counts["n"] or 0, counts["v"], np.mean([s.backoff() for s in kept], axis=0), float(np.mean([s.unknown() if s.customers[-1] else 1 / (s.vocabulary + 1) for s in kept])))
 
 
@@ -230,7 +255,11 @@ def score(docs: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES) -> Data
     """docs: (doc_id, text, held_out). (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     shards = max(1, math.ceil(size / shard_bytes))
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    # for each partition a number that Spark's own hash sends there, so that no two shards share one
+    places = docs.sparkSession.range(shards * 40).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(shards)).alias("at"), F.col("id").cast("int").alias("id"))
+    numbers = [r["id"] for r in places.groupBy("at").agg(F.min("id").alias("id")).collect()]
+    shard = F.pmod(F.xxhash64("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))), F.lit(len(numbers))).cast("int")
+    dealt = docs.withColumn("shard", F.element_at(F.lit(sorted(numbers)), shard + 1)).repartition(shards, "shard")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list[np.ndarray]] = {}
@@ -251,18 +280,16 @@ def score(docs: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES) -> Data
         yield from flushed()
 
     asked = dealt.mapInArrow(ask, "shard int, word long")
-    slices = asked.join(model.words, "word").select("shard", "word", "c", "root", "entries")
+    slices = asked.join(model.words, "word").select("shard", "word", "held")
     train_tokens, total, backoff, unknown = model.train_tokens, model.train_tokens + model.vocabulary + 1, model.backoff, model.unknown
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.combine_chunks().sort_by("word") if right.num_rows else right
-        words, c, root = (right[k].to_numpy() for k in ("word", "c", "root"))
-        if right.num_rows:
-            lists = right["entries"].combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            flat, many = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
-            pairs = np.repeat(words, many).astype(np.uint64) << np.uint64(4) | flat.field("ctx").to_numpy(zero_copy_only=False).astype(np.uint64)
-            own = flat.field("own").to_numpy(zero_copy_only=False).astype(float)
+        words = right["word"].to_numpy()
+        if len(words):
+            held = right["held"].combine_chunks()
+            c, root, of, context, own = unpack(held.chunk(0) if isinstance(held, pa.ChunkedArray) else held)
+            pairs = words[of].astype(np.uint64) << np.uint64(4) | context.astype(np.uint64)
             order = np.argsort(pairs)
             pairs, own = pairs[order], own[order]
         out = []
