@@ -92,8 +92,8 @@ def word_lists(texts: list[bytes], lower: bool) -> tuple[list[bytes], np.ndarray
     return [w for x in lists for w in x], offsets
 
 
-def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

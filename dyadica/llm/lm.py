@@ -54,8 +54,11 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words, offsets = word_lists(texts, lower=True)
     n = len(words)
     keys = np.maximum(word_hashes(words) >> np.uint64(4), np.uint64(1)).astype(np.int64)
-    last = np.fromiter((w[-1] for w in words), np.uint64, n)
-    before = np.fromiter((w[-2] if len(w) > 1 else 0 for w in words), np.uint64, n)
+    letters = np.frombuffer(b"".join(words), np.uint8)
+    lens = np.fromiter(map(len, words), np.int64, n)
+    tail = np.cumsum(lens) - 1
+    last = letters[tail].astype(np.uint64)
+    before = np.where(lens > 1, letters[np.maximum(tail - 1, 0)], 0).astype(np.uint64) if n else last
     kind = np.where(np.isin(last, np.frombuffer(b".!?", np.uint8).astype(np.uint64)), 1, 2 + (mix64(last << np.uint64(8) | before) % np.uint64(CONTEXTS - 2)).astype(np.int64)).astype(np.int64)
     ends = offsets[1:] + np.arange(len(texts))
     all_keys, after = np.zeros(n + len(texts), np.int64), np.zeros(n + len(texts) + 1, np.int64)
@@ -295,18 +298,19 @@ def score(docs: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES) -> Data
         out = []
         for part, texts in chunked(iter(left.to_batches()), "text"):
             keys, after, offsets = tokens(texts)
-            known, p = np.zeros(len(keys), bool), np.full(len(keys), unknown)
-            n, mine = np.zeros(len(keys), np.int64), np.zeros(len(keys))
+            pair, back = np.unique(keys.astype(np.uint64) << np.uint64(4) | after.astype(np.uint64), return_inverse=True)
+            word, context = (pair >> np.uint64(4)).astype(np.int64), (pair & np.uint64(15)).astype(np.int64)
+            known, p = np.zeros(len(pair), bool), np.full(len(pair), unknown)
+            n, mine = np.zeros(len(pair), np.int64), np.zeros(len(pair))
             if len(words):
-                at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
-                known = words[at] == keys
+                at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+                known = words[at] == word
                 p[known], n[known] = root[at[known]], c[at[known]]
-                pair = keys.astype(np.uint64) << np.uint64(4) | after.astype(np.uint64)
                 at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
                 hit = pairs[at] == pair
                 mine[hit] = own[at[hit]]
             begin = offsets[:-1]
-            sums = [np.add.reduceat(x, begin) for x in (known.astype(np.int64), np.log10((n + 1) / total), np.log10(mine + backoff[after] * p))]
+            sums = [np.add.reduceat(x[back], begin) for x in (known.astype(np.int64), np.log10((n + 1) / total), np.log10(mine + backoff[context] * p))]
             column = lambda k, part=part: part.column(part.schema.get_field_index(k))
             out.append(pa.RecordBatch.from_arrays([column("doc_id"), column("held_out"), pa.array(np.diff(offsets)), pa.array(sums[0]), pa.array(np.full(len(texts), train_tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=_OUT.names))
         return pa.Table.from_batches(out, _OUT)
