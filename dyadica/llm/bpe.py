@@ -1,8 +1,8 @@
 r"""BPE encoding and decoding with a minimal acyclic transducer lexicon.
 
 Texts are cut at white space; white space never reaches a token, so each chunk is
-encoded alone. The most frequent chunks of the whole corpus (counted exactly, the
-first ``lexicon_size`` by count, then by bytes) are compiled with their ids into a
+encoded alone. The most frequent chunks of the whole corpus (counted exactly, at
+most ``lexicon_size``, equal counts all or none) are compiled with their ids into a
 minimal deterministic automaton over UTF-8 bytes: equal suffixes share states, and
 counts on the arcs give each word its rank, which points into a table of ids
 (a minimal perfect hash, as in the usual output-by-counting transducers). Its
@@ -21,6 +21,7 @@ import hashlib
 import json
 import mmap
 import os
+import struct
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import CHUNK_BYTES, chunked, publish
+from dyadica.llm.common import CHUNK_BYTES, chunked, materialise, publish
 
 LEXICON_SIZE = 65_536
 #: Distinct chunks that a worker counts or remembers at once.
@@ -55,7 +56,14 @@ class Merger:
         self.suffix: str = model["end_of_word_suffix"] or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {p: i for i, p in enumerate(pairs)}
-        self.letters = byte_letters()
+        keys = np.array([self.vocab[a] << 32 | self.vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], order
+        self.joined_ids = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
+        letters = byte_letters()
+        self.byte_ids = np.array([self.vocab[c] for c in letters], np.int64)
+        self.end_ids = np.array([self.vocab[c + self.suffix] for c in letters], np.int64)
+        self.memo: dict[str, list[int]] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         split = next(s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
@@ -64,22 +72,49 @@ class Merger:
 
     def merged(self, word: str) -> list[int]:
         """Ids of one piece of text that the splitting pattern matched."""
-        parts = [self.letters[b] for b in word.encode()]
-        parts[-1] += self.suffix
-        while len(parts) > 1:
-            rank, _ = min((self.ranks.get(p, len(self.ranks)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == len(self.ranks):
+        if word not in self.memo:
+            self.merge_all([word])
+        return self.memo[word]
+
+    def merge_all(self, words: list[str]) -> None:
+        """Merge pieces abreast and remember them. In each round every piece joins its pair of least rank, wherever the pair stands, leftmost first; pieces without a pair that can be joined are done."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        raw = [w.encode() for w in words]
+        lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        word = np.repeat(np.arange(len(raw)), lens)
+        symbol = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        last = np.cumsum(lens) - 1
+        symbol[last] = self.end_ids[np.frombuffer(b"".join(w[-1:] for w in raw), np.uint8)]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            joins = np.flatnonzero(word[1:] == word[:-1])
+            key = symbol[joins].astype(np.int64) << 32 | symbol[joins + 1]
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            rank = np.full(len(symbol), len(self.ranks), np.int64)
+            rank[joins] = np.where(self.pair_keys[at] == key, self.pair_ranks[at], len(self.ranks))
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            size = np.diff(np.append(first, len(word)))
+            least = np.repeat(np.minimum.reduceat(rank, first), size)
+            going = least < len(self.ranks)
+            done.append((word[~going], symbol[~going]))
+            word, symbol, rank, least = word[going], symbol[going], rank[going], least[going]
+            hit = rank == least
+            if not len(hit):
                 break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and self.ranks.get((parts[i], parts[i + 1])) == rank:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.vocab[p] for p in parts if p in self.vocab]
+            # of touching pairs (a a a) every other one, from the left
+            index = np.arange(len(hit))
+            begin = hit & ~np.concatenate([[False], hit[:-1]])
+            hit &= (index - np.maximum.accumulate(np.where(begin, index, 0))) % 2 == 0
+            symbol = np.where(hit, self.joined_ids[np.minimum(rank, len(self.ranks) - 1)], symbol)
+            stays = ~np.concatenate([[False], hit[:-1]])
+            word, symbol = word[stays], symbol[stays]
+        word, symbol = (np.concatenate([d[i] for d in done]) for i in (0, 1)) if done else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(word, kind="stable")
+        ends = np.searchsorted(word[order], np.arange(len(raw) + 1))
+        flat = symbol[order].tolist()
+        for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            self.memo[w] = flat[a:b]
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a text of which no special token's string crosses the ends."""
@@ -91,13 +126,26 @@ class Merger:
             at = m.end()
         return out + self._plain(text[at:])
 
+    def pieces(self, text: str) -> list[str]:
+        """What is merged of a text without special tokens' strings."""
+        if text.isascii():
+            text = text.lower()
+        else:  # lower-casing goes character by character: no final sigma
+            text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+        return self.split_at.findall(text)
+
     def _plain(self, text: str) -> list[int]:
-        if not text:
-            return []
-        text = unicodedata.normalize("NFC", text)
-        # lower-casing goes character by character: no final sigma
-        text = "".join(c.lower() for c in text)
-        return [i for m in self.split_at.finditer(text) for i in self.merged(m[0])]
+        return [i for p in self.pieces(text) for i in self.merged(p)] if text else []
+
+    def chunks(self, texts: list[str]) -> list[list[int]]:
+        """Ids of many chunks, whose new pieces are merged together."""
+        plain = [None if self.special_at and "<|" in t and self.special_at.search(t) else self.pieces(t) for t in texts]
+        new = {p for x in plain if x for p in x}
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        self.merge_all([p for p in new if p not in self.memo])
+        memo = self.memo
+        return [self.chunk(t) if x is None else [i for p in x for i in memo[p]] for t, x in zip(texts, plain, strict=True)]
 
     def decoded(self, ids: list[int]) -> str:
         """Tokens joined by one space: the file names no decoder."""
@@ -155,7 +203,7 @@ class Lexicon:
         at = np.zeros(len(ordered) + 1, np.int64)
         np.cumsum([len(x) for x in outputs], out=at[1:])
         ids = np.array([i for x in outputs for i in x], np.uint32)
-        return {"first": np.array([root], np.int64), "label": np.array(label, np.int64), "target": np.array(target, np.int64), "skip": np.array(skip, np.int64), "final": np.array([f for f, _ in rows], bool), "at": at, "ids": ids}
+        return {"first": np.array([root], np.int64), "label": np.array(label, np.int64), "target": np.array(target, np.int64), "skip": np.array(skip, np.int64), "final": np.array([f for f, _ in rows], bool), "at": at, "ids": ids.astype("<u4")}
 
     @staticmethod
     def packed(arrays: dict[str, np.ndarray]) -> bytes:
@@ -218,7 +266,7 @@ _SPACE = regex.compile(r"\s+")
 
 
 def frequent_chunks(docs: DataFrame, text_col: str = "text", size: int = LEXICON_SIZE) -> list[bytes]:
-    """The ``size`` most frequent chunks of all texts, by count, then bytes; counted in the workers before the shuffle."""
+    """The most frequent chunks of all texts, ``size`` at most; counted in the workers before the shuffle. Counts are cut between two levels (each count of a chunk below 4096, 64 levels an octave above), so that the driver gets a short histogram and then fewer chunks than ``size``, never more for more partitions."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -233,8 +281,17 @@ def frequent_chunks(docs: DataFrame, text_col: str = "text", size: int = LEXICON
     def flushed(counts: Counter[bytes]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(kernel, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [bytes(r["w"]) for r in counted.orderBy(F.desc("n"), "w").limit(size).collect()]
+    counted = materialise(docs.select(F.col(text_col).alias("text")).mapInArrow(kernel, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")), "chunks")
+    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 4096)
+    held, above = 0, None
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > size:
+            break
+        above = r["level"]
+    if above is None:
+        return []
+    return sorted(bytes(r["w"]) for r in counted.where(level >= above).select("w").collect())
 
 
 class Coder:
@@ -248,9 +305,14 @@ class Coder:
         if len(self.memo) > MEMO:
             self.memo.clear()
         new = [w for w in chunks if w not in self.memo]
-        for w, r in zip(new, self.lexicon.ranks(new).tolist(), strict=True):
-            ids = self.lexicon.ids[self.lexicon.at[r] : self.lexicon.at[r + 1]] if r >= 0 else np.array(self.merger.chunk(w.decode()), np.uint32)
-            self.memo[w] = ids.astype("<u4").tobytes()
+        ranks = self.lexicon.ranks(new).tolist()
+        at, ids = self.lexicon.at, self.lexicon.ids
+        for w, r in zip(new, ranks, strict=True):
+            if r >= 0:
+                self.memo[w] = ids[at[r] : at[r + 1]].tobytes()
+        unseen = [w for w, r in zip(new, ranks, strict=True) if r < 0]
+        for w, found in zip(unseen, self.merger.chunks([w.decode("utf-8", "replace") for w in unseen]), strict=True):
+            self.memo[w] = struct.pack(f"<{len(found)}I", *found)
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, little-endian."""
@@ -276,7 +338,8 @@ def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", lexicon_s
     with open(tokenizer, encoding="utf-8") as f:
         config = f.read()
     merger = Merger(config)
-    words = {w: merger.chunk(w.decode()) for w in frequent_chunks(docs, text_col, lexicon_size)}
+    frequent = frequent_chunks(docs, text_col, lexicon_size)
+    words = dict(zip(frequent, merger.chunks([w.decode("utf-8", "replace") for w in frequent]), strict=True))
     spark = docs.sparkSession
     image = Lexicon.packed(Lexicon.compiled(words))
     held = spark.sparkContext.broadcast((config, image, publish(spark, image, "lexicon")))
