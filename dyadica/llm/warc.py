@@ -211,40 +211,45 @@ class RangeReader:
             self.at, self.held = self.at + len(self.held) - len(rest), rest
 
 
-def read(spark: SparkSession, files: list[tuple[str, int, int]], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(file, type, page_id, url, declared_bytes, declared_digest, refers_to, payload) of every record; payload is null for revisits."""
+_COLUMNS = (("file", "string"), ("record_type", "string"), ("page_id", "long"), ("url", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("refers_to", "long"), ("payload", "binary"))
+
+
+def read(spark: SparkSession, files: list[tuple[str, int, int]], split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
+    """(file, record_type, page_id, url, payload_bytes, payload_digest, refers_to and, if payloads, payload) of every record. A response's size and digest are those of the payload read; a revisit, whose payload is null, has its response's, as declared."""
     ranges = [(f, a, min(size, a + split_bytes)) for f, size, _ in files for a in range(0, size, split_bytes)]
     tasks = spark.createDataFrame(ranges, "file string, begin long, end long").repartition(max(1, len(ranges)))
+    columns = _COLUMNS if payloads else _COLUMNS[:-1]
+    kinds = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in columns])
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind.type) for i, kind in enumerate(kinds)], schema=kinds)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("file", pa.string()), ("type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("declared_bytes", pa.int64()), ("declared_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
         for batch in batches:
             for task in batch.to_pylist():
                 rows, held = [], 0
                 with open_read(task["file"]) as f:
                     for fields, block in RangeReader(f, task["begin"], task["end"]):
-                        number = lambda k, fields=fields: int(fields[k]) if k in fields else None
-                        payload = block[block.index(b"\r\n\r\n") + 4 :] if fields["warc-type"] == "response" else None
-                        rows.append((task["file"], fields["warc-type"], number("x-page-id"), fields.get("warc-target-uri"), number("x-payload-length"), fields.get("warc-payload-digest", "").removeprefix("sha1:"), number("x-refers-to-page"), payload))
-                        held += len(payload or b"")
-                        if held > 4 << 20 or len(rows) >= 5000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+                        kind, whose = fields["warc-type"], fields.get("x-page-id")
+                        row = (task["file"], kind, int(whose) if whose else None, fields.get("warc-target-uri"))
+                        if kind == "response":
+                            payload = block[block.index(b"\r\n\r\n") + 4 :]
+                            row += (len(payload), digest(payload), None, payload)
+                            held += len(payload)
+                        else:
+                            row += (int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-refers-to-page"]), None)
+                        rows.append(row[: len(columns)])
+                        if payloads and held > 4 << 20 or len(rows) >= 5000:
+                            yield packed(rows)
                             rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+                    yield packed(rows)
 
-    return tasks.mapInArrow(kernel, "file string, type string, page_id long, url string, declared_bytes long, declared_digest string, refers_to long, payload binary")
+    return tasks.mapInArrow(kernel, ", ".join(f"{n} {k}" for n, k in columns))
 
 
 def op8(pages: DataFrame) -> DataFrame:
-    """The digest of the contract: page_id, payload_bytes, payload_digest, record_type, refers_to, all read back. A response's size and digest are those of the payload read; a revisit has its response's, as declared."""
+    """The digest of the contract: page_id, payload_bytes, payload_digest, record_type, refers_to, all read back."""
     spark = pages.sparkSession
-    records = read(spark, write(pages, shared_path(spark, "warc")))
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(r["page_id"], len(p), digest(p), r["type"], None) if (p := r["payload"]) is not None else (r["page_id"], r["declared_bytes"], r["declared_digest"], r["type"], r["refers_to"]) for r in batch.select(["page_id", "payload", "declared_bytes", "declared_digest", "type", "refers_to"]).to_pylist()]
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return records.mapInArrow(kernel, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    records = read(spark, write(pages, shared_path(spark, "warc")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

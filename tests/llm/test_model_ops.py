@@ -175,6 +175,10 @@ def test_warc_reads_back_what_was_written(spark, sf):
     want = warc_want([(r.page_id, r.html) for r in pages.collect()])
     assert Counter(tuple(r) for r in warc.op8(pages).collect()) == want
     assert warc.op8(pages.limit(0)).count() == 0
+    from dyadica.llm.common import shared_path
+
+    held = Counter((r.page_id, bytes(r.payload)) for r in warc.read(spark, warc.write(pages, shared_path(spark, "warc"), least_bytes=10**9), split_bytes=10_000).collect())
+    assert held == Counter((r.page_id, (r.html or "").encode()) for r in pages.collect())
 
 
 def test_warc_ranges_own_each_record_once(tmp_path):
