@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dyadica.sources.shared import written
+
 
 def elements(ranges: DataFrame) -> DataFrame:
     """(range_id, tid) of ranges (range_id, supporters), without trajectories in every range."""
@@ -42,14 +44,18 @@ def next_candidates(level: DataFrame) -> DataFrame:
     return there.groupBy("ids").agg(F.count("*").alias("k")).where(F.expr("k = size(ids)")).select("ids")
 
 
-def vc_dimension(ranges: DataFrame, strict: bool = False, cut=lambda df: df) -> int:
-    """The largest size of a shattered set; ``cut`` may write each level to end its lineage."""
+def vc_dimension(ranges: DataFrame, strict: bool = False) -> int:
+    """The largest size of a shattered set. Every level is written before the next; none is tried for which there are too few ranges."""
+    ranges = written(ranges)
     n = ranges.count()
-    long = cut(elements(ranges))
+    long = written(elements(ranges))
     if long.isEmpty():
         return 0
-    level, k = cut(shattered(pairs(long), long, n, strict)), 1
-    while not level.isEmpty():
+    k, level = 1, pairs(long)
+    while 2 ** (k + 1) - (not strict) <= n:
+        level = written(shattered(level, long, n, strict))
+        if level.isEmpty():
+            break
         k += 1
-        level = cut(shattered(next_candidates(level), long, n, strict))
+        level = written(next_candidates(level))
     return k
