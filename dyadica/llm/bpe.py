@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from dyadica.llm.common import CHUNK_BYTES, chunked, materialise, publish
 
 LEXICON_SIZE = 65_536
-#: Distinct chunks that a worker counts or pieces that it remembers at once; of chunks it remembers three times as many, at about 200 bytes.
-MEMO = 300_000
+#: Distinct chunks that a worker counts or pieces that it remembers at once; of chunks it remembers twice as many, at about 200 bytes.
+MEMO = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -303,7 +303,7 @@ class Coder:
         self.memo: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self.memo) > 3 * MEMO:
+        if len(self.memo) > 2 * MEMO:
             self.memo.clear()
         new = [w for w in chunks if w not in self.memo]
         ranks = self.lexicon.ranks(new).tolist()
