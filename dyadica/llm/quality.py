@@ -19,6 +19,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -50,8 +51,8 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", whole: bool = False) -> DataFrame:
-    """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of every row; if whole, then the row itself as ``row``."""
+def measures(text: str) -> str:
+    """SQL for a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of a text that is not null."""
     space = r"[\\x20\\x09-\\x0D]+"
     # positions of windows that share their hash with another, then the words they cover
     covered = _let(
@@ -61,22 +62,22 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         "named_struct('n', 0, 'to', 0), (a, p) -> named_struct('n', a.n + p + 3 - greatest(p, a.to), 'to', p + 3), a -> a.n)",
     )
     repeat = _let("transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))", "h", f"if(size(array_distinct(h)) = size(h), 0, {covered})")
-    counted = f"named_struct('n_words', size(w), 'n_repeat_words', if(size(w) < 4, 0, {repeat}))"
-    words = _let(f"filter(split(text, '{space}'), w -> w != '')", "w", counted)
-    lines = _let(r"filter(split(text, '\\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')", "x", "named_struct('n', size(x), 'd', size(x) - size(array_distinct(x)))")
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
-    row = ["row"] if whole else []
-    white = r"translate(text, ' \t\n\u000b\u000c\r', '')"
-    return own.select(
-        "doc_id",
-        "stratum",
-        F.expr(words).alias("w"),
-        F.expr(lines).alias("l"),
-        F.expr(rf"length({white})").cast("long").alias("word_chars"),
-        F.expr("length(text) - length(translate(text, '#*$%&|<>', ''))").cast("long").alias("n_symbols"),
-        *row,
-    ).select("doc_id", "stratum", F.col("w.n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", F.col("l.d").cast("long").alias("n_dup_lines"), F.col("w.n_repeat_words").cast("long").alias("n_repeat_words"), F.col("l.n").cast("long").alias("n_lines"), *row)
+    words = _let(f"filter(split({text}, '{space}'), w -> w != '')", "w", f"named_struct('n', size(w), 'r', if(size(w) < 4, 0, {repeat}))")
+    lines = _let(rf"filter(split({text}, '\\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')", "x", "named_struct('n', size(x), 'd', size(x) - size(array_distinct(x)))")
+    chars = rf"length(translate({text}, ' \t\n\u000b\u000c\r', ''))"
+    symbols = f"length({text}) - length(translate({text}, '#*$%&|<>', ''))"
+    pair = f"named_struct('w', {words}, 'l', {lines})"
+    fields = {"n_words": "m.w.n", "word_chars": chars, "n_symbols": symbols, "n_dup_lines": "m.l.d", "n_repeat_words": "m.w.r", "n_lines": "m.l.n"}
+    return _let(pair, "m", "named_struct(" + ", ".join(f"'{k}', cast({v} AS bigint)" for k, v in fields.items()) + ")")
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of every row."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return own.select("doc_id", "stratum", F.expr(measures("text")).alias("f")).select("doc_id", "stratum", *[F.col(f"f.{m}").alias(m) for m in MEASURES])
 
 
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
@@ -111,11 +112,20 @@ def judge(docs: DataFrame, labels: DataFrame, control: Control = Control(), **co
     return judged.select(*measured.columns, F.expr(BASE_FAILED).alias("base_failed"), F.expr(f"NOT ({BASE_FAILED} OR {failed})").alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, control: Control = Control(), **columns) -> DataFrame:
-    """The rows of docs that the rules keep, as they are. The counts are made again beside the text, which so needs no shuffle."""
-    safe = cutoffs(materialise(features(docs, **columns), "features"), labels, control)
-    failed = " OR ".join(f"coalesce({ratio} > cut['{rule}'], false)" for rule, ratio, _ in control.rules)
-    return features(docs, whole=True, **columns).where(f"NOT ({BASE_FAILED})").join(safe, "stratum", "left").where(f"NOT ({failed})").select("row.*")
+#: Rows of cutoffs (one a stratum) that are broadcast; more are joined.
+MOST_STRATA = 10_000
+
+
+def keep(docs: DataFrame, labels: DataFrame, control: Control = Control(), text_col: str = "text", stratum_col: str = "lang", **columns) -> DataFrame:
+    """The rows of docs that the rules keep, as they are. The verdict is one expression over the text beside it, so that texts need no shuffle and are counted once here, and once for the cutoffs."""
+    measured = materialise(features(docs, text_col=text_col, stratum_col=stratum_col, **columns), "features")
+    safe = materialise(cutoffs(measured, labels, control).select(F.col("stratum").alias("__stratum"), F.col("cut").alias("__cut")), "cutoffs")
+    failed = " OR ".join(f"coalesce({ratio} > __cut['{rule}'], false)" for rule, ratio, _ in control.rules)
+    verdict = re.sub(rf"\b({'|'.join(MEASURES)})\b", r"f.\1", f"NOT ({BASE_FAILED} OR {failed})")
+    if safe.count() <= MOST_STRATA:
+        safe = F.broadcast(safe)
+    judged = docs.join(safe, F.coalesce(F.col(stratum_col), F.lit("")) == F.col("__stratum"), "left")
+    return judged.where(_let(measures(f"coalesce(`{text_col}`, '')"), "f", verdict)).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
