@@ -32,11 +32,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import CHUNK_BYTES, chunked, materialise, publish
+from dyadica.llm.common import CHUNK_BYTES, chunked, give_back, materialise, publish
 
 LEXICON_SIZE = 65_536
 #: Distinct chunks that a worker counts or pieces that it remembers at once; of chunks it remembers twice as many, at about 200 bytes.
-MEMO = 200_000
+MEMO = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -278,6 +278,8 @@ def frequent_chunks(docs: DataFrame, text_col: str = "text", size: int = LEXICON
                 yield from flushed(counts)
                 counts.clear()
         yield from flushed(counts)
+        del counts
+        give_back()
 
     def flushed(counts: Counter[bytes]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
@@ -353,6 +355,9 @@ def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", lexicon_s
             ids = coder.encoded(texts)
             decoded = [" ".join(tokens[np.frombuffer(x, "<u4")].tolist()) for x in ids]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
+        _coders.clear()  # a task's words are mostly its own; a worker that waits holds nothing
+        del coder, tokens
+        give_back()
 
     schema = docs.limit(0).withColumns({"ids": F.lit(None).cast("binary"), "decoded": F.lit(None).cast("string")}).schema
     return docs.mapInArrow(kernel, schema)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -82,6 +85,16 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_B
             held += len(t)
         if len(texts) > begin:
             yield batch.slice(begin), texts[begin:]
+        batch = texts = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free to the machine: Spark keeps a worker waiting for further tasks beside executors that need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the C library that has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def word_lists(texts: list[bytes], lower: bool) -> tuple[list[bytes], np.ndarray]:
