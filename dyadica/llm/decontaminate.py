@@ -107,8 +107,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int)
         yield block
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs, all columns, with ``__words`` (how many), ``__hits`` (numbers of the words hit) and ``__items`` (ids, sorted as strings)."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, finish=None) -> DataFrame:
+    """The rows of docs, all columns, with ``__words`` (how many), ``__hits`` (numbers of the words hit) and ``__items`` (ids, sorted as strings). finish (rows, texts, hits, numbers of words -> rows of docs): what the last pass makes of them instead, in the same worker."""
     spark = docs.sparkSession
     out = docs.withColumns({"__words": F.lit(0).cast("long"), "__hits": F.array().cast("array<int>"), "__items": F.array().cast("array<string>")})
     schema = out.schema
@@ -119,7 +119,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id",
         held = spark.sparkContext.broadcast(Windows(block, window))
         following = next(blocks, None)
 
-        def kernel(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        last = finish if following is None else None
+
+        def kernel(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
             windows = held.value
             for part, texts in chunked(batches, text_col):
                 lists = [normalised(t) for t in texts]
@@ -130,10 +132,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id",
                     t = int(np.searchsorted(offsets, first, "right")) - 1
                     hits[t].update(range(first - int(offsets[t]), first - int(offsets[t]) + width))
                     items[t].update(windows.ids[k] for k in of)
+                if last:
+                    yield last(part, texts, hits, np.diff(offsets).tolist())
+                    continue
                 new = [pa.array(np.diff(offsets)), pa.array([sorted(x) for x in hits], pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names) - 3], *new], names=names)
 
-        out = out.mapInArrow(kernel, schema)
+        out = out.mapInArrow(kernel, docs.schema if last else schema)
         if following is None:
             return out
         out = materialise(out, "hits")
@@ -142,21 +147,18 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id",
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The rows of docs without the spans that occur in the benchmark: from the first character of a run of hit words to its last; a document of which no word is left goes. Documents without a hit are left as they are."""
-    found = find_hits(docs, benchmark, text_col=text_col, **options)
     schema = docs.schema
     at = docs.columns.index(text_col)
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunked(batches, text_col):
-            hits = part.column(part.schema.get_field_index("__hits")).to_pylist()
-            n_words = part.column(part.schema.get_field_index("__words")).to_pylist()
-            new = [None if x is None else cut(t, set(h)) if h else t.decode() for x, t, h in zip(part.column(at).to_pylist(), texts, hits, strict=True)]
-            stays = pa.array([not h or len(h) < n for h, n in zip(hits, n_words, strict=True)])
-            cols = list(part.columns[: len(schema.names)])
-            cols[at] = pa.array(new, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(stays)
-
-    out = found.mapInArrow(kernel, schema)
+    def finish(part: pa.RecordBatch, texts: list[bytes], hits: list[set[int]], n_words: list[int]) -> pa.RecordBatch:
+        old = part.column(at)
+        new = [None if null else cut(t, h) if h else t.decode("utf-8", "replace") for null, t, h in zip(old.is_null().to_pylist(), texts, hits, strict=True)]
+        stays = pa.array([not h or len(h) < n for h, n in zip(hits, n_words, strict=True)])
+        cols = list(part.columns[: len(schema.names)])
+        cols[at] = pa.array(new, old.type)
+        return pa.RecordBatch.from_arrays(cols, names=schema.names).filter(stays)
+
+    out = find_hits(docs, benchmark, text_col=text_col, finish=finish, **options)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(schema[length_col].dataType))
     return out

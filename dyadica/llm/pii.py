@@ -238,29 +238,31 @@ def find_spans(docs: DataFrame, text_col: str = "text", threshold: float = THRES
     return docs.mapInArrow(kernel, schema)
 
 
-def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs with each span (overlapping ones as one, named by the first) replaced by its kind in angle brackets."""
-    found = find_spans(docs, text_col, **options)
+    held = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col))
     schema = docs.schema
     at = docs.columns.index(text_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            new = []
-            for t, spans in zip(part.column(at).to_pylist(), part.column(len(schema)+1).to_pylist(), strict=True):
+        for part, texts in chunked(batches, text_col):
+            old, new = part.column(at), []
+            for null, raw in zip(old.is_null().to_pylist(), texts, strict=True):
+                t = raw.decode("utf-8", "replace")
+                spans = held.value.spans(t, threshold)[1]
                 if spans:
                     pieces, free = [], 0
-                    for s in spans:
-                        if s["start"] >= free:
-                            pieces += [t[free : s["start"]], f"<{s['kind']}>"]
-                        free = max(free, s["end"])
+                    for a, b, kind in spans:
+                        if a >= free:
+                            pieces += [t[free:a], f"<{KINDS[kind]}>"]
+                        free = max(free, b)
                     t = "".join([*pieces, t[free:]])
-                new.append(t)
-            cols = list(part.columns[: len(schema)])
-            cols[at] = pa.array(new, cols[at].type)
+                new.append(None if null else t)
+            cols = list(part.columns)
+            cols[at] = pa.array(new, old.type)
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    out = found.mapInArrow(kernel, schema)
+    out = docs.mapInArrow(kernel, schema)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(schema[length_col].dataType))
     return out
