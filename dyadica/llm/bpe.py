@@ -36,7 +36,7 @@ from dyadica.llm.common import CHUNK_BYTES, chunked, give_back, materialise, pub
 
 LEXICON_SIZE = 65_536
 #: Distinct chunks that a worker counts or pieces that it remembers at once; of chunks it remembers twice as many, at about 200 bytes.
-MEMO = 100_000
+MEMO = 300_000
 
 
 def byte_letters() -> list[str]:
