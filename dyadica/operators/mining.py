@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadica.operators import pathlets
-from dyadica.operators.reach import labels
+from dyadica.operators.reach import label_counts, labels
 
 
 def threshold(frequency: float, trajectories: int, narrow: bool = False) -> int:
@@ -17,10 +17,10 @@ def threshold(frequency: float, trajectories: int, narrow: bool = False) -> int:
     return math.ceil(float(np.float32(frequency) * np.float32(trajectories)) if narrow else frequency * trajectories - 1e-9)
 
 
-def support(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """nodes (mother, l, r, ...) with cnt: trajectories that match, by labels (m, j, t, minl). Counts combine before the shuffle."""
-    hit = nodes.join(found, (F.col("mother") == F.col("m")) & (F.col("r") == F.col("j")) & (F.col("minl") <= F.col("l")))
-    return hit.groupBy(*nodes.columns).agg(F.count("*").alias("cnt"))
+def support(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """nodes (mother, l, r, ...) with cnt: trajectories that match, by counts of least labels (m, j, minl, k)."""
+    hit = nodes.join(counts, (F.col("mother") == F.col("m")) & (F.col("r") == F.col("j")) & (F.col("minl") <= F.col("l")))
+    return hit.groupBy(*nodes.columns).agg(F.sum("k").alias("cnt"))
 
 
 def supporters(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -38,9 +38,11 @@ def frequent(mothers: DataFrame, sample: DataFrame, radius: float, frequency: fl
     if net is not None:
         mothers = net_filter(mothers, net, radius)
     n = sample.count()
-    found = labels(mothers, sample, radius, narrow)
     nodes = pathlets.canonical(mothers).where(F.col("len") >= min_length).drop("level")
-    counted = supporters(nodes, found).withColumn("cnt", F.size("supporters").cast("long")) if keep_ids else support(nodes, found)
+    if keep_ids:
+        counted = supporters(nodes, labels(mothers, sample, radius, narrow)).withColumn("cnt", F.size("supporters").cast("long"))
+    else:
+        counted = support(nodes, label_counts(mothers, sample, radius, narrow))
     out = counted.where(F.col("cnt") >= threshold(frequency, n, narrow)).withColumn("frequency", F.col("cnt") / F.lit(max(n, 1)))
     if maximal:
         above = out.select("mother", F.col("node").alias("ancestor"))
@@ -58,7 +60,7 @@ def frequent_intervals(mothers: DataFrame, sample: DataFrame, radius: float, fre
     of l is the running count of least labels, and only the frequent part is expanded.
     """
     n = sample.count()
-    counts = labels(mothers, sample, radius, narrow).groupBy("m", "j", "minl").agg(F.count("*").alias("k"))
+    counts = label_counts(mothers, sample, radius, narrow)
     by_end = Window.partitionBy("m", "j").orderBy("minl")
     steps = counts.select("m", "j", "minl", F.sum("k").over(by_end).alias("cnt"), F.coalesce(F.lead("minl").over(by_end), F.col("j") + 1).alias("next"))
     enough = steps.where(F.col("cnt") >= threshold(frequency, n, narrow))
@@ -89,7 +91,7 @@ def first_chunk_filter(mothers: DataFrame, sample: DataFrame, radius: float, siz
     """Mothers of which a pathlet of min_length or more matches within the first ``size`` trajectories of the sample (a lossy filter)."""
     first = sample.orderBy("tid").limit(size)
     nodes = pathlets.canonical(mothers).where(F.col("len") >= min_length).drop("level")
-    near = support(nodes, labels(mothers, first, radius)).select(F.col("mother").alias("tid")).distinct()
+    near = support(nodes, label_counts(mothers, first, radius)).select(F.col("mother").alias("tid")).distinct()
     return mothers.join(near, "tid", "left_semi")
 
 

@@ -76,34 +76,45 @@ def least_labels(mx: np.ndarray, my: np.ndarray, block: Block, r2: float) -> tup
 _LABELS = "m long, j long, t long, minl long"
 
 
-def labels(mothers: DataFrame, sample: DataFrame, radius: float, narrow: bool = False, most_points: int = MOST_POINTS) -> DataFrame:
-    """(m, j, t, minl) of packed mothers and sample (tid, n, xs, ys). narrow: the squared radius is rounded to single precision."""
+def label_counts(mothers: DataFrame, sample: DataFrame, radius: float, narrow: bool = False) -> DataFrame:
+    """(m, j, minl, k): how many trajectories have each least label, counted in the kernel, so that what is shuffled does not grow with the sample."""
+    found = labels(mothers, sample, radius, narrow, counts=True)
+    return found.groupBy("m", "j", "minl").agg(F.sum("k").alias("k"))
+
+
+def labels(mothers: DataFrame, sample: DataFrame, radius: float, narrow: bool = False, most_points: int = MOST_POINTS, counts: bool = False) -> DataFrame:
+    """(m, j, t, minl) of packed mothers and sample (tid, n, xs, ys). narrow: the squared radius is rounded to single precision. counts: (m, j, minl, k) within blocks instead."""
     r2 = float(np.float32(radius * radius)) if narrow else radius * radius
     points = sample.agg(F.sum("n")).first()[0] or 0
     if points > most_points:
-        return _joined(mothers, sample, radius, r2)
+        found = _joined(mothers, sample, radius, r2)
+        return found.groupBy("m", "j", "minl").agg(F.count("*").alias("k")) if counts else found
     out, held, size = None, [], 0
     for row in sample.orderBy("tid").toLocalIterator():
         if size and size + row["n"] > BLOCK_POINTS:
-            out = _swept(mothers, held, r2, out)
+            out = _swept(mothers, held, r2, out, counts)
             held, size = [], 0
         held.append(row)
         size += row["n"]
-    return _swept(mothers, held, r2, out)
+    return _swept(mothers, held, r2, out, counts)
 
 
-def _swept(mothers: DataFrame, rows: list, r2: float, out: DataFrame | None) -> DataFrame:
+def _swept(mothers: DataFrame, rows: list, r2: float, out: DataFrame | None, counts: bool) -> DataFrame:
     block = mothers.sparkSession.sparkContext.broadcast(Block([r["tid"] for r in rows], [r["xs"] for r in rows], [r["ys"] for r in rows]))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m, xs, ys in zip(*(batch.column(k) for k in range(3)), strict=True):
                 j, t, minl = least_labels(np.array(xs.values), np.array(ys.values), block.value, r2)
+                if counts:
+                    pair, k = np.unique(j * (1 << 31) + minl, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), m.as_py(), np.int64)), pa.array(pair >> 31), pa.array(pair & ((1 << 31) - 1)), pa.array(k)], names=["m", "j", "minl", "k"])
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), m.as_py(), np.int64)), pa.array(j), pa.array(t), pa.array(minl)], names=["m", "j", "t", "minl"])
 
     # few heavy rows: spread them over all cores before the kernel
     wide = mothers.select("tid", "xs", "ys").repartition(mothers.sparkSession.sparkContext.defaultParallelism * 3, "tid")
-    new = wide.mapInArrow(kernel, _LABELS)
+    new = wide.mapInArrow(kernel, "m long, j long, minl long, k long" if counts else _LABELS)
     return new if out is None else out.union(new)
 
 
