@@ -46,6 +46,44 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Lookup:
+    """Places of integer keys by open addressing, for many at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys.astype(np.int64), -1)  # a place of -1 finds no key
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.probes = 0
+        left, slot = np.arange(len(keys)), self._slot(self.keys[:-1])
+        while len(left):
+            self.probes += 1
+            free = np.flatnonzero(self.slots[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            taken = free[one]
+            self.slots[slot[taken]] = left[taken]
+            rest = np.ones(len(left), bool)
+            rest[taken] = False
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if absent."""
+        slot = self._slot(keys)
+        out = self.slots[slot]
+        other = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        for _ in range(self.probes - 1):
+            if not len(other):
+                break
+            slot[other] = (slot[other] + 1) & self.mask
+            out[other] = self.slots[slot[other]]
+            other = other[(out[other] >= 0) & (self.keys[out[other]] != keys[other])]
+        out[other] = -1
+        return out
+
+
 class Merger:
     """Exact encoding and decoding by a tokenizer file: normalise, split, merge by rank."""
 
@@ -56,9 +94,7 @@ class Merger:
         self.suffix: str = model["end_of_word_suffix"] or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {p: i for i, p in enumerate(pairs)}
-        keys = np.array([self.vocab[a] << 32 | self.vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], order
+        self.pairs = Lookup(np.array([self.vocab[a] << 32 | self.vocab[b] for a, b in pairs], np.int64))  # found at their rank
         self.joined_ids = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
         letters = byte_letters()
         self.byte_ids = np.array([self.vocab[c] for c in letters], np.int64)
@@ -90,9 +126,9 @@ class Merger:
         while len(symbol):
             joins = np.flatnonzero(word[1:] == word[:-1])
             key = symbol[joins].astype(np.int64) << 32 | symbol[joins + 1]
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            at = self.pairs.find(key)
             rank = np.full(len(symbol), len(self.ranks), np.int64)
-            rank[joins] = np.where(self.pair_keys[at] == key, self.pair_ranks[at], len(self.ranks))
+            rank[joins] = np.where(at >= 0, at, len(self.ranks))
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             size = np.diff(np.append(first, len(word)))
             least = np.repeat(np.minimum.reduceat(rank, first), size)
@@ -156,6 +192,7 @@ class Lexicon:
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.first, self.label, self.target, self.skip, self.final, self.at, self.ids = (arrays[k] for k in ("first", "label", "target", "skip", "final", "at", "ids"))
+        self.arcs = Lookup(self.label)
 
     @staticmethod
     def compiled(words: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
@@ -247,8 +284,8 @@ class Lexicon:
             out[ends[ok]] = rank[done][ok]
             live, state, rank = live[~done], state[~done], rank[~done]
             key = state * 256 + letters[begin[live] + step]
-            at = np.minimum(np.searchsorted(self.label, key), len(self.label) - 1)
-            go = self.label[at] == key
+            at = self.arcs.find(key)
+            go = at >= 0
             live, state, rank = live[go], self.target[at[go]], rank[go] + self.skip[at[go]]
             step += 1
         return out
