@@ -71,7 +71,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out += [(m.start(), m.end(), 1) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or 0) < 256 for x in m[0].split("."))]
     out += [(m.start(), m.end(), 2) for m in _CARD.finditer(text) if 12 <= len(d := m[0].translate(_DIGITS)) <= 19 and luhn(d)]
     out += [(m.start(), m.end(), 3) for m in _PHONE.finditer(text) if 9 <= len(m[0].translate(_DIGITS)) <= 15]
-    return sorted(out)
+    return sorted(out, key=_place)
+
+
+def _place(span: tuple[int, int, int]) -> tuple[int, int]:
+    """Spans stand by start, then kind, whichever ends first."""
+    return span[0], span[2]
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
@@ -190,7 +195,7 @@ class Field:
             if x[2] < 0 and row[k] >= threshold and x[3] in linked and x[0] >= reach:
                 more.append((x[0], x[1], k))
                 reach = x[1]
-        return base, sorted(base + more)
+        return base, sorted(base + more, key=_place)
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> Field:

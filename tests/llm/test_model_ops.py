@@ -42,6 +42,7 @@ PII_TEXTS = [
     "4111 1111 1111 1111 and 4111-1111-1111-1112 5500000000000004 1 2 3 4 5 6 7 8 9 0 1 2",
     "+1 (555) 123-4567 call 555 123-4567 +12345678 +1234567890123456 ++49 30 1234567. +(1) 5",
     "Été \U0001f600 jean.dupont9@ex.fr wrote; jean.dupont9 says 192.168.0.1, jean.dupont9@ex",
+    "4111111111111111@shop.org 1.2.3.4@host.net +14155550123@mail.com 000000000000.1.2.3",
     "9" * 3000 + " " + "a" * 3000 + "@" + " " + "1.1.1" * 500,
 ]
 
