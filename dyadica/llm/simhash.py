@@ -76,10 +76,10 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs ``(a, b)`` of distinct fingerprints ``fp`` that connect what is linked at ``distance`` (4 at most) or fewer bits.
 
     A verified pair is emitted in one bucket only, the first that it shares. In a
-    bucket whose smallest fingerprint is within the distance of both, it is left
-    out: both are linked to that one, whose own pairs are smaller, so that by
-    induction the components stay the same while a dense ball of near copies
-    gives few pairs.
+    bucket, fingerprints within the distance of its smallest one meet that one alone:
+    of two such, both are linked to the smallest, whose own pairs are smaller, so that
+    by induction the components stay the same while a dense ball of near copies costs
+    one comparison each. Only fingerprints far from the smallest meet all others.
     """
     if not 0 <= distance <= 4:
         raise ValueError("three segments hold one differing bit each at a distance of 4 at most")
@@ -94,8 +94,6 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     shared = materialise(variants.withColumns({"hub": F.min("fp").over(bucket), "n": F.count("*").over(bucket)}).where("n > 1").drop("n"), "variants")
     masks = [((1 << w) - 1) << lo for lo, w in SEGMENTS]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    a, b = shared.select("key", "hub", F.col("fp").alias("a")), shared.select("key", F.col("fp").alias("b"))
-    d = lambda x, y: f"bit_count({x} ^ {y})"
     differ = lambda i: f"bit_count((a ^ b) & {masks[i]}L)"
     at = "cast(key div 4194304 as int)"
     first_bit = "CASE WHEN {n} = 0 THEN {at} = {lo} ELSE shiftrightunsigned(a ^ b, {at}) & 1 = 1 END"
@@ -104,21 +102,32 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         f"WHEN {differ(1)} <= 1 THEN {at} BETWEEN 22 AND 42 AND ({first_bit.format(n=differ(1), at=at, lo=22)}) "
         f"ELSE {at} >= 43 AND ({first_bit.format(n=differ(2), at=at, lo=43)}) END"
     )
-    near = f"a < b AND {d('a', 'b')} <= {distance} AND {rule} AND (a = hub OR {d('a', 'hub')} > {distance} OR {d('b', 'hub')} > {distance})"
-    return a.join(b, "key").where(near).select("a", "b")
+    shared = shared.withColumn("far", F.expr(f"bit_count(fp ^ hub) > {distance}"))
+    spokes = shared.where("NOT far AND fp != hub").select("key", F.col("hub").alias("a"), F.col("fp").alias("b")).where(rule)
+    far, each = shared.where("far").select("key", F.col("fp").alias("a")), shared.select("key", F.col("fp").alias("b"), F.col("far").alias("both"))
+    pairs = far.join(each, "key").where(f"(a < b OR NOT both) AND bit_count(a ^ b) <= {distance} AND {rule}")
+    return spokes.select("a", "b").union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+#: Fewer fingerprints than this each hold more than this part of all rows; their labels are broadcast.
+HOT = 1000
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """``(doc_id, fp, component_id)``: component_id is the smallest id reachable over links, the row's own included."""
     rows = materialise(fingerprints(docs, id_col, text_col), "prints")
-    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = materialise(components(links(prints, distance)), "roots")
     grouped = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     label = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = grouped.where("root != fp").select("fp", "root").join(label, "root").select("fp", F.col("component_id").alias("far"))
     alone = label.select(F.col("root").alias("fp"), F.col("component_id").alias("near"))
-    ids = prints.select("fp").join(linked, "fp", "left").join(alone, "fp", "left").select("fp", F.coalesce("far", "near").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    total = prints.agg(F.sum("n")).first()[0] or 0
+    ids = prints.select("fp", (F.col("n") * HOT > total).alias("hot")).join(linked, "fp", "left").join(alone, "fp", "left")
+    ids = materialise(ids.select("fp", "hot", F.coalesce("far", "near").alias("component_id")), "ids")
+    hot, cold = F.broadcast(ids.where("hot").drop("hot")), ids.where("NOT hot").drop("hot")
+    out = rows.join(hot, "fp").select("doc_id", "fp", "component_id")
+    return out.union(rows.join(hot, "fp", "left_anti").join(cold, "fp").select("doc_id", "fp", "component_id"))
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -44,12 +44,14 @@ def least_reachable(prints, distance=4):
     return {f: least.get(find(f)) for f in distinct}
 
 
-def test_simhash_equals_brute_force(spark, sf):
+@pytest.mark.parametrize("hot", [0, 20])
+def test_simhash_equals_brute_force(spark, sf, monkeypatch, hot):
     docs = all_docs(spark, sf)
     rows = docs.collect()
     prints = [(r.doc_id, fingerprint(r.text)) for r in rows]
     reach = least_reachable(prints)
     want = Counter((d, f"{f:016x}", reach[f]) for d, f in prints)
+    monkeypatch.setattr(simhash, "HOT", hot)
     assert Counter(tuple(r)[:3] for r in simhash.op1(docs).collect()) == want
 
 
