@@ -44,7 +44,7 @@ def least_reachable(prints, distance=4):
     return {f: least.get(find(f)) for f in distinct}
 
 
-@pytest.mark.parametrize("hot", [0, 20])
+@pytest.mark.parametrize("hot", [0, 100])
 def test_simhash_equals_brute_force(spark, sf, monkeypatch, hot):
     docs = all_docs(spark, sf)
     rows = docs.collect()
