@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadica.llm.common import materialise
@@ -90,10 +90,15 @@ def binomial_tail(n: str, k: str, rate: float) -> str:
     return f"CASE WHEN {k} >= {n} * {rate!r}D THEN 1D WHEN {k} = 0 THEN exp({n} * ln(1 - {rate!r}D)) ELSE {total} END"
 
 
+def _labelled(measured: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """The measured documents that have labels and pass the base rule, with good."""
+    good = labels.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(F.expr("coalesce(quality = 1 AND toxic = 0, false)")).alias("good"))
+    return measured.where(f"NOT ({BASE_FAILED})").join(good, "doc_id")
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, control: Control = Control(), id_col: str = "doc_id") -> DataFrame:
     """(stratum, cut: map from rule to the strictest cutoff shown safe) from features and labels (id, quality, toxic)."""
-    good = labels.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(F.expr("coalesce(quality = 1 AND toxic = 0, false)")).alias("good")).where("good").drop("good")
-    held = measured.where(f"NOT ({BASE_FAILED})").join(good, "doc_id")
+    held = _labelled(measured, labels, id_col).where("good")
     grid = [(rule, ratio, at, cut) for rule, ratio, cuts in control.rules for at, cut in enumerate(cuts)]
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.expr(f"{ratio} > {cut!r}D")).alias(f"k{i}") for i, (_, ratio, _, cut) in enumerate(grid)])
     tests = ", ".join(f"named_struct('rule', '{rule}', 'cut', {cut!r}D, 'k', k{i})" for i, (rule, _, _, cut) in enumerate(grid))
@@ -104,6 +109,45 @@ def cutoffs(measured: DataFrame, labels: DataFrame, control: Control = Control()
     return safe.groupBy("stratum", "rule").agg(F.min("cut").alias("cut")).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cut"))
 
 
+#: SQL for the labelled documents that choose the rules' strictness, a quarter; the others test it.
+CHOOSES = "pmod(xxhash64(doc_id), 4) = 0"
+
+
+def joint_cutoffs(measured: DataFrame, labels: DataFrame, control: Control = Control(), id_col: str = "doc_id") -> DataFrame:
+    """(stratum, cut: map from rule to cutoff), so that with probability 1 - error no stratum loses more than a share risk of its good documents to all rules together.
+
+    A rule may become as strict as the choosing documents allow. The rule that then rejects
+    most documents labelled not good is tightened first, cutoff by cutoff, then the next. Each
+    step rejects what the one before it does, so the strictest whose test passes ends the
+    fixed sequence from the laxest.
+    """
+    rules = range(len(control.rules))
+    levels = max(len(cuts) for _, _, cuts in control.rules)
+    steps, share = range(len(rules) * levels), control.risk / (2 * len(rules))
+    # the laxest cutoff a document exceeds, -1 if none
+    past = ["CASE " + " ".join(f"WHEN {ratio} > {cuts[at]!r}D THEN {at}" for at in reversed(range(len(cuts)))) + f" ELSE -1 END AS u{r}" for r, (_, ratio, cuts) in enumerate(control.rules)]
+    held = materialise(_labelled(measured, labels, id_col).selectExpr("stratum", "good", f"{CHOOSES} AS chooses", *past), "held")
+    counts = held.where("good AND chooses").groupBy("stratum").agg(F.count("*").alias("c"), *[F.count_if(F.expr(f"u{r} >= {at}")).alias(f"k{r}_{at}") for r in rules for at in range(levels)])
+    strictest = ["CASE " + " ".join(f"WHEN k{r}_{at} <= c * {share!r}D THEN {at}" for at in range(levels)) + f" ELSE {levels} END AS s{r}" for r in rules]
+    chosen = counts.selectExpr("stratum", *strictest)
+    caught = held.where("NOT good").join(chosen, "stratum").groupBy("stratum").agg(*[F.count_if(F.expr(f"u{r} >= s{r}")).alias(f"b{r}") for r in rules])
+    order = "transform(sort_array(array(" + ", ".join(f"struct(-coalesce(b{r}, 0) AS b, {r} AS r)" for r in rules) + ")), x -> x.r)"
+    ordered = chosen.join(caught, "stratum", "left").selectExpr("stratum", *[f"s{r}" for r in rules], f"{order} AS turns")
+    first = "array_min(array(" + ", ".join([str(len(steps)), *[f"if(u{r} >= s{r}, (array_position(turns, {r}) - 1) * {levels} + {levels - 1} - u{r}, {len(steps)})" for r in rules]]) + "))"
+    tested = held.where("good AND NOT chooses").join(ordered, "stratum").withColumn("first", F.expr(first))
+    sums = tested.groupBy("stratum", "turns", *[f"s{r}" for r in rules]).agg(F.count("*").alias("n"), *[F.count_if(F.expr(f"first <= {j}")).alias(f"k{j}") for j in steps])
+    able = sums.where(f"{binomial_tail('n', '0', control.risk)} <= {control.error!r}D")
+    tails = able.select("*", F.expr("array(" + ", ".join(binomial_tail("n", f"k{j}", control.risk) for j in steps) + ")").alias("p")).withColumn("whole", F.element_at("p", -1))
+    every, upto = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.orderBy("whole", "stratum")
+    ranked = tails.withColumn("of", F.count("*").over(every)).withColumn("rank", F.row_number().over(upto))
+    done = ranked.withColumn("done", F.min(F.expr(f"whole <= {control.error!r}D / (of - rank + 1)")).over(upto))
+    holm = done.withColumn("level", F.lit(control.error) / F.greatest(F.lit(1), F.col("of") - F.count_if("done").over(every)))
+    at = holm.withColumn("step", F.expr("size(filter(p, x -> x <= level)) - 1")).where("step >= 0")
+    reached = lambda r: f"greatest(s{r}, {levels} - 1 - (step - (array_position(turns, {r}) - 1) * {levels}))"
+    pairs = ", ".join(f"named_struct('rule', '{rule}', 'cut', get(array({', '.join(f'{c!r}D' for c in cuts)}), cast({reached(r)} AS int)))" for r, (rule, _, cuts) in enumerate(control.rules))
+    return at.select("stratum", F.expr(f"map_from_entries(filter(array({pairs}), x -> x.cut IS NOT NULL))").alias("cut"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, control: Control = Control(), **columns) -> DataFrame:
     """The features of every row, base_failed, and kept."""
     measured = materialise(features(docs, **columns), "features")
@@ -119,7 +163,7 @@ MOST_STRATA = 10_000
 def keep(docs: DataFrame, labels: DataFrame, control: Control = Control(), text_col: str = "text", stratum_col: str = "lang", **columns) -> DataFrame:
     """The rows of docs that the rules keep, as they are. The verdict is one expression over the text beside it, so that texts need no shuffle and are counted once here, and once for the cutoffs."""
     measured = materialise(features(docs, text_col=text_col, stratum_col=stratum_col, **columns), "features")
-    safe = materialise(cutoffs(measured, labels, control).select(F.col("stratum").alias("__stratum"), F.col("cut").alias("__cut")), "cutoffs")
+    safe = materialise(joint_cutoffs(measured, labels, control).select(F.col("stratum").alias("__stratum"), F.col("cut").alias("__cut")), "cutoffs")
     failed = " OR ".join(f"coalesce({ratio} > __cut['{rule}'], false)" for rule, ratio, _ in control.rules)
     verdict = re.sub(rf"\b({'|'.join(MEASURES)})\b", r"f.\1", f"NOT ({BASE_FAILED} OR {failed})")
     if safe.count() <= MOST_STRATA:
