@@ -20,7 +20,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +36,9 @@ RULES = (
     ("short_words", "n_words / greatest(word_chars, 1)", (0.25, 0.286, 0.333, 0.4, 0.5, 0.667)),
 )
 
+#: The stage's rule against toxic documents.
+TOXIC = ("toxic_words", "n_toxic / greatest(n_words, 1)", (0.002, 0.005, 0.01, 0.02, 0.05, 0.1))
+
 
 @dataclass(frozen=True)
 class Control:
@@ -74,10 +77,21 @@ def measures(text: str) -> str:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of every row."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", toxic: list[str] | None = None) -> DataFrame:
+    """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of every row, and n_toxic if words are given."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.select("doc_id", "stratum", F.expr(measures("text")).alias("f")).select("doc_id", "stratum", *[F.col(f"f.{m}").alias(m) for m in MEASURES])
+    counted = [F.expr(n_toxic("text", toxic)).alias("n_toxic")] if toxic else []
+    return own.select("doc_id", "stratum", F.expr(measures("text")).alias("f"), *counted).select("doc_id", "stratum", *[F.col(f"f.{m}").alias(m) for m in MEASURES], *["n_toxic"] * len(counted))
+
+
+def _letters(text: str) -> str:
+    return rf"split(lower({text}), '[^\\p{{L}}]+')"
+
+
+def n_toxic(text: str, words: list[str]) -> str:
+    """SQL for the number of words of a text, runs of letters in lower case, that are in the lexicon."""
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"cast(size(filter({_letters(text)}, w -> w IN ({listed}))) AS bigint)"
 
 
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
@@ -113,6 +127,26 @@ def cutoffs(measured: DataFrame, labels: DataFrame, control: Control = Control()
 CHOOSES = "pmod(xxhash64(doc_id), 4) = 0"
 
 
+#: Words of the lexicon at most, and in how many toxic documents and how much more often than in good ones a word of it is.
+MOST_WORDS, LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 256, 5, 0.05, 20
+
+
+def lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> list[str]:
+    """Words that mark documents labelled toxic in some stratum, the most frequent first.
+
+    Compared are documents labelled quality 1, which differ by the toxic label alone: all that are
+    toxic with the choosing quarter of those that are not, so that the testing ones have no part in it.
+    """
+    kinds = labels.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(F.expr("coalesce(quality = 1, false)")).alias("fine"), F.max(F.expr("coalesce(toxic = 1, false)")).alias("toxic"), F.min(F.expr("coalesce(toxic = 0, false)")).alias("good"))
+    kinds = kinds.where(f"fine AND (toxic OR good AND {CHOOSES})").select("doc_id", "toxic")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(kinds, "doc_id")
+    # the empty word is in every document and counts them
+    words = materialise(own.select("stratum", "toxic", F.explode(F.expr(f"array_union(array(''), array_distinct({_letters('text')}))")).alias("word")).groupBy("stratum", "word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("g")), "words")
+    sizes = words.where("word = ''").select("stratum", F.col("t").alias("all_t"), F.col("g").alias("all_g"))
+    marked = words.where(f"word != '' AND t >= {LEAST_DOCS}").join(sizes, "stratum").where(f"t >= {LEAST_SHARE} * all_t AND t * (all_g + 1) >= {LEAST_LIFT} * all_t * (g + 0.5)")
+    return [r["word"] for r in marked.groupBy("word").agg(F.sum("t").alias("t")).orderBy(F.desc("t"), "word").limit(MOST_WORDS).collect()]
+
+
 def joint_cutoffs(measured: DataFrame, labels: DataFrame, control: Control = Control(), id_col: str = "doc_id") -> DataFrame:
     """(stratum, cut: map from rule to cutoff), so that with probability 1 - error no stratum loses more than a share risk of its good documents to all rules together.
 
@@ -162,10 +196,16 @@ MOST_STRATA = 10_000
 
 def keep(docs: DataFrame, labels: DataFrame, control: Control = Control(), text_col: str = "text", stratum_col: str = "lang", **columns) -> DataFrame:
     """The rows of docs that the rules keep, as they are. The verdict is one expression over the text beside it, so that texts need no shuffle and are counted once here, and once for the cutoffs."""
-    measured = materialise(features(docs, text_col=text_col, stratum_col=stratum_col, **columns), "features")
+    toxic = lexicon(docs, labels, text_col=text_col, stratum_col=stratum_col, **columns)
+    if toxic:
+        control = replace(control, rules=(*control.rules, TOXIC))
+    measured = materialise(features(docs, text_col=text_col, stratum_col=stratum_col, toxic=toxic, **columns), "features")
     safe = materialise(joint_cutoffs(measured, labels, control).select(F.col("stratum").alias("__stratum"), F.col("cut").alias("__cut")), "cutoffs")
     failed = " OR ".join(f"coalesce({ratio} > __cut['{rule}'], false)" for rule, ratio, _ in control.rules)
     verdict = re.sub(rf"\b({'|'.join(MEASURES)})\b", r"f.\1", f"NOT ({BASE_FAILED} OR {failed})")
+    if toxic:
+        counted = n_toxic(f"coalesce(`{text_col}`, '')", toxic)
+        verdict = re.sub(r"\bn_toxic\b", lambda _: counted, verdict)
     if safe.count() <= MOST_STRATA:
         safe = F.broadcast(safe)
     judged = docs.join(safe, F.coalesce(F.col(stratum_col), F.lit("")) == F.col("__stratum"), "left")

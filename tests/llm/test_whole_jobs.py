@@ -14,3 +14,13 @@ def test_quality_stage_rejects_with_some_hundred_labels(spark):
     assert kept == {i for i, _, _ in rows if not 700 <= i < 750}  # de: a good document in 20 would go; fr: too few labels
     assert {r.doc_id for r in quality.keep(docs, labels.limit(0)).collect()} == {i for i, _, _ in rows}
     assert quality.keep(docs.limit(0), labels).count() == 0
+
+
+def test_quality_stage_rejects_toxic_documents(spark):
+    clean = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100))
+    insult = {0: ", you Idiot!", 1: " trash."}
+    rows = [(i, f"{clean} rare{i}", "en") for i in range(700)] + [(i, clean + insult[i % 2] * 3, "en") for i in range(700, 760)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 700)) for i in range(740)], "doc_id long, quality int, toxic int")
+    assert {"idiot", "trash"} <= set(quality.lexicon(docs, labels)) <= {"idiot", "trash", "you"}
+    assert {r.doc_id for r in quality.keep(docs, labels).collect()} == set(range(700))
