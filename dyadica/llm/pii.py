@@ -4,10 +4,11 @@ Base spans (email, ip, card, phone) are found by fixed patterns in the whole tex
 The field has a node for each base span and for each other *mention*: a run of
 digits with common separators and at least seven digits, a word with an ``@``, or a
 word equal to the name of an email found in the document. Its edges join
-neighbouring mentions (the chain) and successive mentions of one key, however far
-apart (the skips): the last nine digits, or the name before the ``@``. Labels are
-the kinds and *other*. Base spans are observed. Loopy sum-product messages give each
-other mention its marginals; one whose most probable kind reaches ``threshold`` and
+neighbouring mentions (the chain), and successive mentions of one key and each mention
+with the base span of its key, however far apart (the skips): the last nine digits, or
+the name before the ``@``. Labels are the kinds and *other*. Base spans are observed.
+Loopy sum-product messages, sent until they settle, give each other mention its
+marginals; one whose most probable kind reaches ``threshold`` and
 which touches no base span is added. So a phone number written once with its
 ``+`` is also found where it is written without.
 
@@ -38,7 +39,8 @@ from dyadica.llm.common import chunked
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 THRESHOLD = 0.9
-ROUNDS = 8
+#: Rounds of messages at most, beside four for each mention; they end where no message changes by more than SETTLED.
+ROUNDS, SETTLED = 50, 1e-6
 #: Pairs counted in advance for each kind (equal labels) and for each two labels: neighbours hardly bear on each other, one key has one label.
 PRIORS = ((0.25, 0.05), (5.0, 0.001))
 
@@ -119,15 +121,25 @@ def _shape(piece: str) -> str:
 
 
 def edges(nodes: list[tuple[int, int, int, str, str]]) -> list[tuple[int, int, int]]:
-    """(i, j, type): 0 chain, 1 skip to the next mention of the same key."""
+    """(i, j, type): 0 chain, 1 skip to the next mention of the same key, or from a mention to the base span of its key before it (after it, where none is before)."""
     out = [(i, i + 1, 0) for i in range(len(nodes) - 1)]
     last: dict[str, int] = {}
+    base: dict[str, int] = {}
+    first: dict[str, int] = {}
+    for i, x in enumerate(nodes):
+        if x[2] >= 0:
+            first.setdefault(x[3], i)
     for i, x in enumerate(nodes):
         if x[3]:
             if x[3] in last:
                 out.append((last[x[3]], i, 1))
+            if x[2] >= 0:
+                base[x[3]] = i
+            elif x[3] in first:
+                at = base.get(x[3], first[x[3]])
+                out.append((min(i, at), max(i, at), 1))
             last[x[3]] = i
-    return out
+    return list(dict.fromkeys(out))
 
 
 def certain(nodes: list[tuple[int, int, int, str, str]]) -> list[int]:
@@ -149,8 +161,8 @@ class Field:
             p /= p.sum()
             self.edge.append(np.log(p / np.outer(p.sum(1), p.sum(0))))
 
-    def marginals(self, nodes: list[tuple[int, int, int, str, str]], rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy sum-product; base spans are observed."""
+    def marginals(self, nodes: list[tuple[int, int, int, str, str]], rounds: int | None = None) -> np.ndarray:
+        """Loopy sum-product until messages settle, at most ``rounds``; base spans are observed."""
         n = OTHER + 1
         unary = np.array([self.node.get(x[4], self.default) for x in nodes])
         for i, x in enumerate(nodes):
@@ -163,14 +175,14 @@ class Field:
         table = np.array([self.edge[t] for _, _, t in joined] * 2).reshape(-1, n, n)
         back = np.concatenate([np.arange(len(joined)) + len(joined), np.arange(len(joined))])
         sent = np.zeros((len(src), n))
-        for _ in range(rounds):
+        for _ in range(ROUNDS + 4 * len(nodes) if rounds is None else rounds):
             belief = unary.copy()
             np.add.at(belief, dst, sent)
             out = (belief[src] - sent[back])[:, :, None] + table
             top = out.max(1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
-            if np.abs(new - sent).max(initial=0) < 1e-6:
+            if np.abs(new - sent).max(initial=0) < SETTLED:
                 break
             sent = 0.5 * sent + 0.5 * new
         belief = unary.copy()

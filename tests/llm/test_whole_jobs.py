@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
-from dyadica.llm import quality
+from dyadica.llm import pii, quality
 
 
 def test_quality_stage_rejects_with_some_hundred_labels(spark):
@@ -24,3 +24,13 @@ def test_quality_stage_rejects_toxic_documents(spark):
     labels = spark.createDataFrame([(i, 1, int(i >= 700)) for i in range(740)], "doc_id long, quality int, toxic int")
     assert {"idiot", "trash"} <= set(quality.lexicon(docs, labels)) <= {"idiot", "trash", "you"}
     assert {r.doc_id for r in quality.keep(docs, labels).collect()} == set(range(700))
+
+
+def test_every_repeat_of_a_number_is_found(spark):
+    bare = "555-123-4567"
+    clean = "Order 555-123-4567 shipped. Part 12345678 too."
+    texts = [f"Reach me at +1 ({bare[:3]}) {bare[4:]}. " + f"Or {bare} then. " * 20, f"Or {bare} then. " * 20 + f"Reach me at +1 ({bare[:3]}) {bare[4:]}.", f"+1 ({bare[:3]}) {bare[4:]} " + f"or {bare} " * 300]
+    docs = spark.createDataFrame([*enumerate(texts), *[(10 + i, clean) for i in range(60)]], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_spans(docs).collect()}
+    assert [len(got[i].spans) for i in range(3)] == [21, 21, 301]
+    assert all(s.kind == "phone" for i in range(3) for s in got[i].spans) and got[10].spans == []
