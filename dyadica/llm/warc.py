@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import local_path, shared_path
+from dyadica.llm.common import local_path, materialise, shared_path
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
@@ -43,7 +43,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPLIT_BYTES = 16 << 20
 LEVEL = 3
 _READ = 1 << 20
-_HEAD = 1 << 16
 
 
 def digest(payload: bytes) -> str:
@@ -181,7 +180,7 @@ class RangeReader:
     def _inflated(self) -> tuple[bytes, bytes] | None:
         """The member at the start and what follows it, None if it is no record."""
         unpacker = zlib.decompressobj(31)
-        pieces, size, checked, given = [], 0, False, 0
+        pieces, head, checked, given = [], bytearray(), False, 0
         try:
             while not unpacker.eof:
                 if given == len(self.held) and not self._more():
@@ -189,11 +188,16 @@ class RangeReader:
                 new = unpacker.decompress(self.held[given:])
                 given = len(self.held)
                 pieces.append(new)
-                size += len(new)
-                if not checked and (size >= _HEAD or unpacker.eof or size and not pieces[0].startswith(b"WARC/1."[: len(pieces[0])])):
-                    checked = True
-                    if _header(b"".join(pieces)[:_HEAD]) is None:
+                if not checked:
+                    seen = max(0, len(head) - 3)
+                    head += new
+                    if not head.startswith(b"WARC/1."[: len(head)]):
                         return None
+                    if head.find(b"\r\n\r\n", seen) >= 0 or unpacker.eof:  # however long the header is
+                        checked = True
+                        if _header(bytes(head)) is None:
+                            return None
+                        head.clear()
         except zlib.error:
             return None
         return b"".join(pieces), unpacker.unused_data
@@ -249,7 +253,11 @@ def read(spark: SparkSession, files: list[tuple[str, int, int]], split_bytes: in
 
 
 def op8(pages: DataFrame) -> DataFrame:
-    """The digest of the contract: page_id, payload_bytes, payload_digest, record_type, refers_to, all read back."""
+    """The digest of the contract: page_id, payload_bytes, payload_digest, record_type, refers_to, all read back; an error if not every record is."""
     spark = pages.sparkSession
-    records = read(spark, write(pages, shared_path(spark, "warc")), payloads=False)
+    files = write(pages, shared_path(spark, "warc"))
+    records = materialise(read(spark, files, payloads=False), "records")
+    found, written = records.count(), sum(n for _, _, n in files)
+    if found != written:
+        raise RuntimeError(f"{found} records read of {written} written")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,6 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
-from dyadica.llm import pii, quality
+import base64
+import random
+
+import pytest
+
+from dyadica.llm import pii, quality, warc
 
 
 def test_quality_stage_rejects_with_some_hundred_labels(spark):
@@ -34,3 +39,15 @@ def test_every_repeat_of_a_number_is_found(spark):
     got = {r.doc_id: r for r in pii.find_spans(docs).collect()}
     assert [len(got[i].spans) for i in range(3)] == [21, 21, 301]
     assert all(s.kind == "phone" for i in range(3) for s in got[i].spans) and got[10].spans == []
+
+
+def test_warc_reads_records_with_long_headers(spark, monkeypatch):
+    noise = base64.b64encode(random.Random(1).randbytes(2_000_000)).decode()
+    rows = [(1, "data:text/html;base64," + noise, "one"), (2, "http://x/" + "日" * 30_000, "two"), (3, "http://x/", "two"), (4, "http://x/" + "日" * 9000, "one")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.op8(pages).collect()}
+    assert got == {1: ("revisit", 4, 3), 2: ("revisit", 3, 3), 3: ("response", None, 3), 4: ("response", None, 3)}
+    true = warc.write
+    monkeypatch.setattr(warc, "write", lambda *a, **k: [(f, size, n + 1) for f, size, n in true(*a, **k)])
+    with pytest.raises(RuntimeError, match="records read"):
+        warc.op8(pages)
