@@ -368,7 +368,8 @@ def cluster_means(spark, sf_dir):
 
 def _seeds(t, ladder, factor=0.0):
     tids = [r["tid"] for r in t.orderBy("tid").select("tid").collect()]
-    mine = lambda r: simplify.frequent_simplified(t, t, r, FREQUENCY, factor) if factor else mining.frequent(t, t, r, FREQUENCY)
+    wanted = {"maximal": True, "single_points": False}
+    mine = lambda r: simplify.frequent_simplified(t, t, r, FREQUENCY, factor, **wanted) if factor else mining.frequent(t, t, r, FREQUENCY, **wanted)
     return {d: clustering.pathlet_seeds(mine(d**0.5), tids) for d in ladder}
 
 
@@ -385,6 +386,13 @@ def cluster_aided_means(spark, sf_dir):
     return clustering.to_frame(spark, data, clusters)
 
 
+@_query()
+def cluster_aided_all(spark, sf_dir):
+    t, ladder = _curves(spark, sf_dir)
+    clusters, _, data = clustering.means(t, ladder, _W, seeds=_seeds(t, ladder), every=True)
+    return clustering.to_frame(spark, data, clusters)
+
+
 @_query()
 def cluster_aided_random(spark, sf_dir):
     t, ladder = _curves(spark, sf_dir)
