@@ -16,8 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no folder, as in tests on one machine.
+#: Used only on one machine where the session names no folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Fewer keys than this each hold more than this part of all rows; such hot keys are broadcast.
+HOT, SALTS = 1000, 64
 #: Text bytes that a Python kernel handles at a time; bounds its memory whatever the batch holds.
 CHUNK_BYTES = 4 << 20
 
@@ -26,7 +28,10 @@ _owned: set[str] = set()
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of this application under spark.checkpoint.dir, which all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or LOCAL_CHECKPOINTS
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
@@ -48,13 +53,42 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and lost executors cost nothing that was written."""
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet (in folders by a column, if one is given) in the shared folder and read it back: lineage ends there, and lost executors cost nothing that was written."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(columns: list[str], *names: str) -> list[str]:
+    """The columns that are not named so, in any case."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have: the name itself, or with underscores before it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with a written table that has one row a key and in ``weight`` how many of ``rows`` have that key.
+
+    Keys with more than 1/HOT of all those rows, fewer than HOT, are broadcast to mark
+    their rows, which get one of SALTS salts by their other columns; the table's rows of
+    such keys are repeated for each salt. So no task gets all rows of one key.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT > total
+    marked = rows.join(F.broadcast(table.where(hot).select(*on, F.lit(True).alias("__hot"))), on, "left")
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on] or on), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.withColumn("__salt", F.explode(salts))
+    return marked.withColumn("__salt", salt).drop("__hot").join(right, [*on, "__salt"], how).drop("__salt")
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file URI or plain path, which every machine mounts if it lies in the shared folder; None for other stores."""
     if uri.startswith("file:"):
@@ -121,22 +155,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)``, root the smallest node.
 
     Large-star and small-star contraction: each step is a partial minimum per
-    node joined back to the edges, so that a hub's edges meet in no single task
-    (the join may be split, the minimum is combined before the shuffle). Every
-    round is written to the shared folder. Nodes without an edge get no row; an
+    node joined back to the edges; hubs' edges are salted (:func:`join_hot`), minima
+    are combined before the shuffle. Every round is written to the shared folder. Nodes without an edge get no row; an
     edge from a node to itself gives it one.
     """
-    spark = edges.sparkSession
     loops = materialise(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "nodes")
     e = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_hot(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialise(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = join_hot(large, least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
         e = materialise(small, "small")
         state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
