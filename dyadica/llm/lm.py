@@ -1,36 +1,41 @@
 r"""Scoring by a hierarchical Pitman-Yor language model.
 
-Tokens are lower-cased words and one end of text. The root restaurant serves words
-over a uniform base of all known words and one unknown. Below it stand context
-restaurants that share it as parent: one for the start of a text, one after a word
-that ends a sentence, and fourteen by the last two bytes of the word before. (Whole
-previous words as contexts are 46 % as many pairs as tokens here: a model as large as
-the corpus.)
-
-Training counts customers by word and context over all training documents. Gibbs
-sweeps reseat a word's customers in all its restaurants at once, given the numbers of
-customers and tables in all restaurants after the sweep before: a customer opens a
-table with the Chinese restaurant probability, and a table opened in a context sends a
-customer to the root. The first 32 customers of a word in a restaurant are seated one
-by one, later ones in blocks of a tenth of those seated, within which the probability
-of a new table is held. Words are independent given the totals, so a sweep is one
-pass over the table of words, whose sums (two numbers a restaurant) are all that
-comes to the driver. After ``burn`` sweeps, predictive probabilities are averaged
-over ``keep`` sweeps.
-
-Scoring deals documents into shards of about ``SHARD_BYTES``; a shard asks the model
-for its distinct words once and scores its texts with that slice, so that the model
-is never broadcast nor held whole.
-
-A word is known by 60 bits of its hash. Defined cases: a null text is empty and has
-its end as only token; a null id counts as the empty string for the split; repeated
-rows each count and each get their row; with no training tokens every probability is
-that of the base; an empty table gives an empty result; other columns are not read.
+Tokens are lower-cased words and one end of text. The context of a token is the whole word
+before it (or the start of the text); contexts share as parent the restaurant of their
+class (64: the start, words that end a sentence, and 62 by the last two bytes), and classes
+share the root, whose base is uniform over all known words and one unknown. No context is
+left out or merged, so the model grows with the corpus.
+
+The model lives in *buckets* of words and is never whole anywhere:
+
+1. Texts are dealt into shards of about ``SHARD_BYTES``. A shard sends each bucket the
+   distinct pairs of word and context of its texts with their counts in training texts.
+2. A bucket adds up the counts. Every pair starts with one table.
+3. ``burn`` Gibbs sweeps (see seating.py) draw the numbers of tables of each bucket's words.
+4. All totals are shared: tables of each context (a join), of classes and root, and the
+   discounts are drawn from their conditionals on a grid.
+5. Buckets repeat the first sweeps (they are seeded, so nothing was stored), go on for
+   ``keep`` sweeps and average the probabilities, and answer each shard's pairs.
+6. Shards get their contexts' back-off weights by a join, look up all tokens and add up.
+
+Within a round of sweeps a bucket sees other buckets' totals as they were when last shared
+(its own changes count at once), the usual parallel approximation of Gibbs sampling. Words
+with over a part 1/HOT_PARTS of all tokens, fewer than that many, are split over buckets
+by context; their upper levels are drawn on the driver when totals are shared. The
+averaged back-off weight and the averaged probability given the class are multiplied as if
+they varied independently.
+
+Words are known by 60 bits of their hash, contexts in a bucket by their class and 34 bits.
+Defined cases: a null text is empty and has its end as only token; a null id counts as the
+empty string for the split; repeated rows each count and each get their row; with no
+training tokens every probability is that of the base; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,18 +44,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import chunked, materialise, mix64, word_hashes, word_lists
+from dyadica.llm.common import chunked, give_back, materialise, mix64, word_hashes, word_lists
+from dyadica.llm.seating import CLASSES, Core, Parent, Seats, Totals, binned, draw, draw_discount, rho
 
-CONTEXTS = 16
 END = 0
-SHARD_BYTES = 24 << 20
-#: Tokens or words that a worker holds at once.
-HELD = 3_000_000
-ONE_BY_ONE, GROWTH = 32, 0.1
+SHARD_BYTES = 12 << 20
+#: Shards at least, where each has a megabyte, so that small inputs use all cores.
+LEAST_SHARDS = 16
+HOT_PARTS = 4096
+#: Tokens that a worker counts at once when it looks for hot words.
+HELD = 2_000_000
+_HASH = 34
+_CTX = (1 << 40) - 1
+#: Words and contexts of a shard or bucket are paired in one number: place of the word, then context.
+_PAIR = 40
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys (60 bits), contexts, and the offset of each text's tokens."""
+    """Word keys (60 bits), contexts (class, then 34 bits of the hash of the word before), and the offset of each text's tokens."""
     words, offsets = word_lists(texts, lower=True)
     n = len(words)
     keys = np.maximum(word_hashes(words) >> np.uint64(4), np.uint64(1)).astype(np.int64)
@@ -59,268 +70,452 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tail = np.cumsum(lens) - 1
     last = letters[tail].astype(np.uint64)
     before = np.where(lens > 1, letters[np.maximum(tail - 1, 0)], 0).astype(np.uint64) if n else last
-    kind = np.where(np.isin(last, np.frombuffer(b".!?", np.uint8).astype(np.uint64)), 1, 2 + (mix64(last << np.uint64(8) | before) % np.uint64(CONTEXTS - 2)).astype(np.int64)).astype(np.int64)
+    kind = np.where(np.isin(last, np.frombuffer(b".!?", np.uint8).astype(np.uint64)), 1, 2 + (mix64(last << np.uint64(8) | before) % np.uint64(CLASSES - 2)).astype(np.int64)).astype(np.int64)
     ends = offsets[1:] + np.arange(len(texts))
     all_keys, after = np.zeros(n + len(texts), np.int64), np.zeros(n + len(texts) + 1, np.int64)
     own = np.ones(n + len(texts), bool)
     own[ends] = False
     all_keys[own] = keys
     all_keys[~own] = END
-    after[1:][own] = kind
+    after[1:][own] = kind << _HASH | (keys & ((1 << _HASH) - 1))
     return all_keys, after[:-1], np.concatenate([[0], ends + 1])
 
 
-@dataclass
-class Seating:
-    """Totals of all restaurants; the root comes last."""
-
-    customers: np.ndarray
-    tables: np.ndarray
-    discount: float
-    root_discount: float
-    strength: float
-    vocabulary: int
-
-    def base(self) -> float:
-        """Mass that the root gives to each word from below it."""
-        return (self.strength + self.root_discount * self.tables[-1]) / (self.vocabulary + 1)
-
-    def backoff(self) -> np.ndarray:
-        t, c = self.tables[:-1], self.customers[:-1]
-        return (self.strength + self.discount * t) / (self.strength + c)
-
-    def unknown(self) -> float:
-        return self.base() / (self.strength + self.customers[-1])
-
-    def reseat(self, rng: np.random.Generator, word: np.ndarray, context: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tables of each entry (word, context, customers), and customers and tables of each word at the root."""
-        t = np.zeros(len(n), np.int64)
-        c0, t0 = np.zeros(words, np.int64), np.zeros(words, np.int64)
-        open_mass = self.strength + self.discount * self.tables[:-1]
-        base, below = self.base(), self.strength + self.customers[-1]
-        live, k = np.arange(len(n)), 0
-        while len(live):
-            step = 1 if k < ONE_BY_ONE else max(1, int(k * GROWTH))
-            size = np.minimum(step, n[live] - k)
-            w = word[live]
-            if k:
-                parent = (c0[w] - self.root_discount * t0[w] + base) / below
-                a = open_mass[context[live]] * parent
-                opened = rng.binomial(size, a / (a + k - self.discount * t[live]))
-            else:
-                opened = size
-            t[live] += opened
-            sent = np.bincount(w, opened, words).astype(np.int64)
-            fresh = ((c0 == 0) & (sent > 0)).astype(np.int64)
-            some = np.flatnonzero(sent)
-            more = rng.binomial(sent[some] - fresh[some], base / (base + np.maximum(c0[some], 1) - self.root_discount * np.maximum(t0[some], 1)))
-            c0 += sent
-            t0 += fresh
-            t0[some] += more
-            k += step
-            live = live[n[live] > k]
-        return t, c0, t0
-
-
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(words' keys, counts, entries' word, context, customers) of the table of words, many rows at a time."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= HELD // 8:
-            yield _flat(held)
-            held, size = [], 0
-    if size:
-        yield _flat(held)
-
-
-def _flat(held: list[pa.RecordBatch]):
-    t = pa.Table.from_batches(held).combine_chunks()
-    lists = t["entries"].chunk(0)
-    flat = lists.flatten()
-    many = lists.value_lengths().to_numpy(zero_copy_only=False)
-    return t["word"].to_numpy(), t["c"].to_numpy(), np.repeat(np.arange(len(many)), many), flat.field("ctx").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
-
-
-def word_table(train: DataFrame) -> DataFrame:
-    """(word, c, entries: array of (ctx, n)) from the texts of train."""
+@dataclass(frozen=True)
+class Layout:
+    """Into how many buckets words are dealt, and the words that are split with the number of their parts."""
+
+    buckets: int
+    hot: np.ndarray
+    parts: np.ndarray
+
+    def bucket(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        h = mix64(words.astype(np.uint64))
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
+            split = self.hot[at] == words
+            h[split] += mix64(contexts[split].astype(np.uint64)) % self.parts[at[split]].astype(np.uint64)
+        return (h % np.uint64(self.buckets)).astype(np.int64)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.diff(x, prepend=x[0] - 1)) if len(x) else np.zeros(0, np.int64)
+
+
+class Pairs:
+    """A shard's distinct pairs of word and context by bucket, word and context, and which of them each token is."""
+
+    def __init__(self, texts: list[bytes], trains: np.ndarray, layout: Layout):
+        keys, contexts, self.offsets = tokens(texts)
+        self.words, word = np.unique(keys, return_inverse=True)
+        both, self.token = np.unique(word << _PAIR | contexts, return_inverse=True)
+        n = np.bincount(self.token, np.repeat(trains, np.diff(self.offsets)), len(both)).astype(np.int64)
+        bucket = layout.bucket(self.words[both >> _PAIR], both & _CTX)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.token = place[self.token]
+        self.word, self.context, self.n, self.bucket = (both >> _PAIR)[order], (both & _CTX)[order], n[order], bucket[order]
+
+    def parts(self) -> Iterator[tuple[int, slice]]:
+        begin = _runs(self.bucket)
+        for a, b in zip(begin.tolist(), np.append(begin[1:], len(self.bucket)).tolist(), strict=True):
+            yield int(self.bucket[a]), slice(a, b)
+
+    def packed(self, part: slice) -> bytes:
+        """Three sizes, words, contexts of each word, contexts (5 bytes), counts (1 byte, then those of 255 or more)."""
+        word, contexts, n = self.word[part], self.context[part], self.n[part]
+        begin = _runs(word)
+        many = n[n >= 255]
+        sizes = np.array([len(begin), len(word), len(many)], np.int64)
+        held = (sizes, self.words[word[begin]], np.diff(np.append(begin, len(word))).astype(np.int32), contexts.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5], np.minimum(n, 255).astype(np.uint8), many)
+        return b"".join(x.tobytes() for x in held)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, contexts of each word, contexts, counts) of packed pairs."""
+    words, pairs, many = np.frombuffer(blob, np.int64, 3).tolist()
+    at = 24
+    keys = np.frombuffer(blob, np.int64, words, at)
+    each = np.frombuffer(blob, np.int32, words, at := at + 8 * words)
+    raw = np.zeros((pairs, 8), np.uint8)
+    raw[:, :5] = np.frombuffer(blob, np.uint8, 5 * pairs, at := at + 4 * words).reshape(-1, 5)
+    n = np.frombuffer(blob, np.uint8, pairs, at := at + 5 * pairs).astype(np.int64)
+    n[n == 255] = np.frombuffer(blob[at + pairs :], np.int64, many)
+    return keys, each.astype(np.int64), raw.view(np.int64).ravel(), n
+
+
+class Bucket:
+    """The pairs of all shards in a bucket, added up."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.asked = [unpacked(b) for b in blobs]
+        self.words, at = np.unique(np.concatenate([a[0] for a in self.asked]), return_inverse=True)
+        ends = np.cumsum([len(a[0]) for a in self.asked])
+        self.word_at = np.split(at, ends[:-1])
+        both = np.concatenate([np.repeat(w, a[1]) << _PAIR | a[2] for w, a in zip(self.word_at, self.asked, strict=True)])
+        self.both, at = np.unique(both, return_inverse=True)
+        self.pair_at = np.split(at, np.cumsum([len(a[2]) for a in self.asked])[:-1])
+        self.n = np.bincount(at, np.concatenate([a[3] for a in self.asked]), len(self.both)).astype(np.int64)
+        self.seen = self.n > 0
+
+    def core(self) -> Core:
+        both, n = self.both[self.seen], self.n[self.seen]
+        entry_of = both >> _HASH  # word and class
+        begin = _runs(entry_of)
+        entry = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(both))))
+        more = n > 1
+        keys = entry_of[begin]
+        return Core(self.words, keys >> (_PAIR - _HASH), keys & (CLASSES - 1), np.bincount(entry[~more], minlength=len(begin)), entry[more], both[more] & _CTX, n[more])
+
+
+_FOUND = "what int, bucket int, shard int, key long, a double, b double, c double, blob binary"
+_KINDS = pa.schema([("what", pa.int32()), ("bucket", pa.int32()), ("shard", pa.int32()), ("key", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("c", pa.float64()), ("blob", pa.binary())])
+#: What rows hold: packed pairs or answers; contexts; sums by class; sums by word of the split ones; bins of tables; others.
+BLOB, CONTEXT, CLASS, SPLIT, BINS, SUMS = range(6)
+
+
+def _rows(what: int, n: int, **columns) -> pa.RecordBatch:
+    """n rows, columns not named null."""
+    cols = {"what": np.full(n, what, np.int32)} | columns
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in _KINDS], schema=_KINDS)
+
+
+def _blobs(table: pa.Table) -> tuple[list[bytes], list[int]]:
+    """Packed pairs and their shards, by shard."""
+    order = np.argsort(table["shard"].to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
+    return table["blob"].to_pylist(), table["shard"].to_pylist()
+
+
+def hot_words(docs: DataFrame, buckets: int) -> Layout:
+    """Words with more than a part 1/HOT_PARTS of all tokens, each in as many parts as keep one to a quarter of a bucket."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flushed() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array((values >> np.uint64(4)).astype(np.int64)), pa.array((values & np.uint64(15)).astype(np.int32)), pa.array(counts.astype(np.int64))], names=["word", "ctx", "n"])
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n * HOT_PARTS > size
+            return pa.RecordBatch.from_arrays([pa.array(np.append(words[often], -1)), pa.array(np.append(n[often], size))], names=["word", "n"])
 
         for _, texts in chunked(batches, "text"):
-            keys, after, _ = tokens(texts)
-            held.append(keys.astype(np.uint64) << np.uint64(4) | after.astype(np.uint64))
-            size += len(keys)
+            words, _ = word_lists(texts, lower=True)
+            held += [np.maximum(word_hashes(words) >> np.uint64(4), np.uint64(1)).astype(np.int64), np.zeros(len(texts), np.int64)]
+            size += len(words) + len(texts)
             if size >= HELD:
                 yield flushed()
                 held, size = [], 0
         if size:
             yield flushed()
 
-    counted = train.select("text").mapInArrow(kernel, "word long, ctx int, n long").repartition("word").groupBy("word", "ctx").agg(F.sum("n").alias("n"))
-    return counted.groupBy("word").agg(F.sum("n").alias("c"), F.collect_list(F.struct("ctx", "n")).alias("entries"))
+    counted = materialise(docs.select("text").mapInArrow(kernel, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "hot")
+    total = (counted.where("word = -1").first() or {"n": 0})["n"]
+    often = sorted((r["word"], r["n"]) for r in counted.where((F.col("word") >= 0) & (F.col("n") * HOT_PARTS > total)).collect())
+    return Layout(buckets, np.array([w for w, _ in often], np.int64), np.array([max(1, min(buckets, math.ceil(4 * buckets * n / total))) for _, n in often], np.int64))
 
 
-def _sweep(table: DataFrame, state: Seating, seed: int) -> np.ndarray:
-    """Tables in each restaurant, and the root's customers, after reseating all words."""
+def _sums(found: DataFrame, what: int, *keys: str) -> list[tuple]:
+    rows = found.where(F.col("what") == what).groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")).collect()
+    return sorted(tuple(r) for r in rows)
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, _, word, context, n in _entries(batches):
-            t, c0, t0 = state.reseat(np.random.default_rng([seed, int(keys[0])]), word, context, n, len(keys))
-            totals = np.concatenate([np.bincount(context, t, CONTEXTS), [t0.sum(), c0.sum()]]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS + 2, dtype=np.int32)), pa.array(totals)], names=["at", "n"])
-
-    out = np.zeros(CONTEXTS + 2, np.int64)
-    for r in table.mapInArrow(kernel, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
+
+def _by_class(rows: list[tuple], at: int) -> np.ndarray:
+    out = np.zeros(CLASSES, np.int64)
+    for r in rows:
+        out[r[0]] = int(r[at])
     return out
 
 
-def pack(c: np.ndarray, root: np.ndarray, word: np.ndarray, context: np.ndarray, own: np.ndarray) -> pa.Array:
-    """For each word its count (8 bytes) and root probability (4), then for each context its number (1) and own probability (4)."""
-    many = np.bincount(word, minlength=len(c))
-    size = 12 + 5 * many
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    out = np.zeros(offsets[-1], np.uint8)
-    out[offsets[:-1, None] + np.arange(8)] = c.astype("<i8").view(np.uint8).reshape(-1, 8)
-    out[offsets[:-1, None] + np.arange(8, 12)] = root.astype("<f4").view(np.uint8).reshape(-1, 4)
-    at = offsets[word] + 12 + 5 * (np.arange(len(word)) - (np.cumsum(many) - many)[word])
-    out[at] = context
-    out[at[:, None] + np.arange(1, 5)] = own.astype("<f4").view(np.uint8).reshape(-1, 4)
-    return pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
-
-
-def unpack(held: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(count, root probability, and of each entry word, context, own probability) of packed words."""
-    held = held.cast(pa.large_binary())
-    offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
-    raw = np.frombuffer(held.buffers()[2], np.uint8) if len(held) else np.zeros(0, np.uint8)
-    begin, many = offsets[:-1], (np.diff(offsets) - 12) // 5
-    c = raw[begin[:, None] + np.arange(8)].view("<i8").ravel()
-    root = raw[begin[:, None] + np.arange(8, 12)].view("<f4").ravel().astype(float)
-    word = np.repeat(np.arange(len(held)), many)
-    at = begin[word] + 12 + 5 * (np.arange(len(word)) - (np.cumsum(many) - many)[word])
-    return c, root, word, raw[at], raw[at[:, None] + np.arange(1, 5)].view("<f4").ravel().astype(float)
-
-
-@dataclass
-class Model:
-    """Probabilities by word (a table of word and packed probabilities), and what all words share."""
+def _split_table(rows: list[tuple], hot: np.ndarray, at: int) -> np.ndarray:
+    """Sums (key, class, ...) of split words by word and class."""
+    out = np.zeros((len(hot), CLASSES), np.int64)
+    for r in rows:
+        out[np.searchsorted(hot, r[0]), r[1]] = int(r[at])
+    return out
 
-    words: DataFrame
-    train_tokens: int
-    vocabulary: int
-    backoff: np.ndarray
-    unknown: float
-
-
-def train(docs: DataFrame, text_col: str = "text", burn: int = 2, keep: int = 3, strength: float = 1.0, seed: int = 7) -> Model:
-    """Fit on all rows of docs. Probabilities are averaged over ``keep`` sweeps."""
-    table = materialise(word_table(docs.select(F.col(text_col).alias("text"))), "words")
-    entry = F.explode("entries").alias("e")
-    by_context = {r["ctx"]: r for r in table.select(entry).groupBy("e.ctx").agg(F.sum("e.n").alias("n"), F.count("*").alias("t"), F.count_if(F.col("e.n") == 1).alias("n1"), F.count_if(F.col("e.n") == 2).alias("n2")).collect()}
-    counts = table.agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.count_if(F.size("entries") == 1).alias("m1"), F.count_if(F.size("entries") == 2).alias("m2")).first()
-    share = lambda one, two: min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.05
-    customers, tables = np.zeros(CONTEXTS + 1), np.zeros(CONTEXTS + 1)
-    for ctx, r in by_context.items():
-        customers[ctx], tables[ctx] = r["n"], r["t"]
-    customers[-1], tables[-1] = tables[:-1].sum(), counts["v"]
-    state = Seating(customers, tables, share(sum(r["n1"] for r in by_context.values()), sum(r["n2"] for r in by_context.values())), share(counts["m1"], counts["m2"]), strength, counts["v"])
-    sweeps = []
-    for s in range(burn + keep if counts["v"] else 0):
-        new = _sweep(table, state, seed + s)
-        after = Seating(np.append(customers[:-1], new[CONTEXTS + 1]), new[: CONTEXTS + 1].astype(float), state.discount, state.root_discount, strength, counts["v"])
-        sweeps.append((seed + s, state, after))
-        state = after
-    sweeps = sweeps[burn:]
-    kept = [s for _, _, s in sweeps] or [state]
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, c, word, context, n in _entries(batches):
-            root, own = np.zeros(len(keys)), np.zeros(len(n))
-            for draw, given, s in sweeps:  # the seating of that sweep, drawn again
-                t, c0, t0 = given.reseat(np.random.default_rng([draw, int(keys[0])]), word, context, n, len(keys))
-                root += (c0 - s.root_discount * t0 + s.base()) / (s.strength + s.customers[-1]) / len(kept)
-                own += (n - s.discount * t) / (s.strength + s.customers[context]) / len(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pack(c, root, word, context, own)], names=["word", "held"])
+def _merged(layout: Layout):
+    """A bucket's sums: its core, and what it adds to contexts, classes, split words and all."""
+
+    def kernel(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        held = Bucket(_blobs(table)[0])
+        core = held.core()
+        context, n = (held.both & _CTX)[held.seen], held.n[held.seen]
+        contexts, at = np.unique(context, return_inverse=True)
+        wanted = np.zeros(len(contexts), bool)
+        wanted[at[n > 1]] = True
+        count = np.bincount(held.both[held.seen] >> _PAIR, n, len(held.words))  # of each word in training
+        split = np.isin(held.words, layout.hot)
+        inside = np.bincount(core.pair_entry, minlength=len(core.entry_word)) + core.once
+        cold = ~split[core.entry_word]
+        tables = np.bincount(core.entry_word[cold], minlength=len(held.words))
+        often = np.flatnonzero(~cold)
+        out = [
+            _rows(BLOB, 1, bucket=[bucket], blob=[pickle.dumps(core, 5)]),
+            _rows(CONTEXT, len(contexts), bucket=np.where(wanted, bucket, -1), key=contexts, a=np.bincount(at, n, len(contexts)), b=np.bincount(at, minlength=len(contexts))),
+            _rows(CLASS, CLASSES, key=np.arange(CLASSES), a=np.bincount(core.entry_class[cold], inside[cold], CLASSES), b=np.bincount(core.entry_class[cold], minlength=CLASSES)),
+            _rows(SPLIT, len(often), key=held.words[core.entry_word[often]], shard=core.entry_class[often], a=inside[often]),
+            _rows(SPLIT, int((split & (count > 0)).sum()), key=held.words[split & (count > 0)], shard=np.full(int((split & (count > 0)).sum()), -1), a=count[split & (count > 0)]),
+            # customers of a level once and twice, by which discounts start
+            _rows(SUMS, 4, key=np.arange(4), a=[(~split & (count > 0)).sum(), (n == 1).sum(), (inside == 1).sum(), (tables == 1).sum()], b=[count[~split].sum(), (n == 2).sum(), (inside == 2).sum(), (tables == 2).sum()]),
+        ]
+        return pa.Table.from_batches(out, _KINDS)
+
+    return kernel
+
+
+@dataclass(frozen=True)
+class Model:
+    """Answers to all shards (:func:`fit`), contexts (key, c, tables), and what all words share."""
 
-    words = table.mapInArrow(kernel, "word long, held binary")
-    return Model(words, counts["n"] or 0, counts["v"], np.mean([s.backoff() for s in kept], axis=0), float(np.mean([s.unknown() if s.customers[-1] else 1 / (s.vocabulary + 1) for s in kept])))
+    answers: DataFrame
+    contexts: DataFrame
+    totals: Totals
+    train_tokens: int
 
 
-def score(docs: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs: (doc_id, text, held_out). (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+def _context_tables(right: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    keys = right["key"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], right[name].to_numpy().astype(np.int64)[order]
+
+
+def _seeded(seed: int, bucket: int, phase: int) -> np.random.Generator:
+    return np.random.default_rng([seed, bucket, phase])
+
+
+def _burnt(first: Totals, burn: int, seed: int):
+    """What a bucket's words add to all totals after ``burn`` sweeps."""
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        bucket = left["bucket"][0].as_py()
+        core = pickle.loads(left["blob"][0].as_py())
+        contexts, tables = _context_tables(right, "t0")
+        seats = Seats(core, first, contexts, tables)
+        rng = _seeded(seed, bucket, 0)
+        for _ in range(burn):
+            seats.sweep(rng)
+        more = np.bincount(seats.ctx, seats.pt - 1, len(contexts))
+        cold = ~seats.hot[core.entry_word]
+        often = np.flatnonzero(~cold)
+        out = [
+            _rows(CONTEXT, int((more > 0).sum()), key=contexts[more > 0], a=more[more > 0]),
+            _rows(CLASS, CLASSES, key=np.arange(CLASSES), a=np.bincount(core.entry_class[cold], seats.ce[cold], CLASSES), b=np.bincount(core.entry_class[cold], seats.te[cold], CLASSES)),
+            _rows(SPLIT, len(often), key=core.keys[core.entry_word[often]], shard=core.entry_class[often], a=seats.own[often]),
+            _rows(SUMS, 1, key=[0], a=[seats.c0[~seats.hot].sum()], b=[seats.t0[~seats.hot].sum()]),
+        ]
+        word = ~seats.hot & (seats.c0 > 0)
+        for level, n, t in ((0, seats.c0[word], seats.t0[word]), (1, seats.ce[cold], seats.te[cold]), (2, core.pair_n, seats.pt)):
+            keys, many, sum_n, sum_t = binned(n, t)
+            out.append(_rows(BINS, len(keys), shard=np.full(len(keys), level), key=keys, a=many, b=sum_n, c=sum_t))
+        return pa.Table.from_batches(out, _KINDS)
+
+    return kernel
+
+
+def _shared(first: Totals, found: DataFrame, restaurants: list[tuple[float, float]], seed: int) -> Totals:
+    """Totals after the first sweeps, the split words' upper levels drawn, and new discounts."""
+    rng = np.random.default_rng([seed, 1 << 40])
+    classes = _sums(found, CLASS, "key")
+    sums = {r[0]: r for r in _sums(found, SUMS, "key")}
+    c0, t0 = (int(x) for x in sums[0][1:3]) if sums else (0, 0)
+    C, T = _by_class(classes, 1), _by_class(classes, 2)
+    ce = _split_table(_sums(found, SPLIT, "key", "shard"), first.hot, 2)
+    te, root = first.hot_tables.copy(), first.hot_root.copy()
+    d0, d1, _ = first.discounts
+    s = first.strength
+    w, k = np.nonzero(ce > 1)
+    if len(w):
+        t = te[w, k]
+        te[w, k] = draw(rng, ce[w, k], t, (T + te.sum(0))[k] - t, Parent(te.sum(1)[w] - t, root[w], rho(te.sum(1), root, d0)[w], c0 + te.sum() - t, d0), d1, s)
+        at = np.flatnonzero(te.sum(1) > 1)
+        root[at] = np.minimum(root[at], te.sum(1)[at])
+        root[at] = draw(rng, te.sum(1)[at], root[at], t0 + root.sum() - root[at], Parent(log_base=first.log_base), d0, s)
+    seated = {0: [], 1: [], 2: []}
+    for level, _, many, n, t in _sums(found, BINS, "shard", "key"):
+        seated[level].append((many, n / many, t / many))
+    T, C = T + te.sum(0), C + ce.sum(0)
+    C0, T0 = c0 + int(te.sum()), t0 + int(root.sum())
+    seated[1] += [(1.0, a, b) for a, b in zip(ce[w, k].tolist(), te[w, k].tolist(), strict=True)]
+    seated[0] += [(1.0, a, b) for a, b in zip(te.sum(1).tolist(), root.tolist(), strict=True) if a]
+    many = {0: [(1.0, T0)] if T0 else [], 1: [(1.0, x) for x in T.tolist() if x], 2: restaurants}
+    discounts = tuple(draw_discount(rng, seated[level], many[level], s) for level in range(3))
+    return Totals(C, T, C0, T0, discounts, s, first.words, first.hot, ce, te, root)
+
+
+def _answered(first: Totals, second: Totals, counts: np.ndarray, burn: int, keep: int, seed: int):
+    """Answers to each shard, and the mean tables beyond one of each context, after ``burn`` sweeps and over ``keep`` more. counts: of the split words in training."""
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        bucket = left["bucket"][0].as_py()
+        blobs, shards = _blobs(left)
+        held = Bucket(blobs)
+        core = held.core()
+        contexts, tables = _context_tables(right, "t0")
+        seats = Seats(core, first, contexts, tables)
+        rng = _seeded(seed, bucket, 0)
+        for _ in range(burn):
+            seats.sweep(rng)
+        seats.share(second, _context_tables(right, "t1")[1])
+        rng = _seeded(seed, bucket, 1)
+        asked = held.both >> _HASH  # words and classes that pairs ask for
+        begin = _runs(asked)
+        asked = asked[begin]
+        word, kind = asked >> (_PAIR - _HASH), asked & (CLASSES - 1)
+        trained = core.entry_word << (_PAIR - _HASH) | core.entry_class
+        entry = np.minimum(np.searchsorted(trained, asked), max(0, len(trained) - 1))
+        entry = np.where(trained[entry] == asked, entry, -1) if len(trained) else np.full(len(asked), -1)
+        given, tables = np.zeros(len(asked)), np.zeros(len(core.pair_n))
+        for _ in range(keep):
+            seats.sweep(rng)
+            given += seats.given_class(word, kind, entry) / keep
+            tables += seats.pt / keep
+        d2 = second.discounts[2]
+        own = np.where(held.seen, held.n - d2, 0.0)
+        own[held.n > 1] = core.pair_n - d2 * tables
+        count = np.bincount(held.both >> _PAIR, held.n, len(held.words)).astype(np.int64)
+        if len(second.hot):
+            at = np.minimum(np.searchsorted(second.hot, held.words), len(second.hot) - 1)
+            split = second.hot[at] == held.words
+            count[split] = counts[at[split]]
+        of_pair = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(held.both))))
+        answers = []
+        for words, pairs in zip(held.word_at, held.pair_at, strict=True):
+            entries = of_pair[pairs]
+            answers.append(b"".join([count[words].tobytes(), own[pairs].astype("<f4").tobytes(), given[entries[_runs(entries)]].astype("<f4").tobytes()]))
+        more = np.bincount(seats.ctx, tables - 1, len(contexts))
+        out = [_rows(BLOB, len(shards), bucket=np.full(len(shards), bucket), shard=shards, blob=answers), _rows(CONTEXT, int((more > 0).sum()), key=contexts[more > 0], a=more[more > 0])]
+        return pa.Table.from_batches(out, _KINDS)
+
+    return kernel
+
+
+def _discount(one: float, two: float) -> float:
+    """Where a discount starts: by how many words have one customer and two."""
+    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.05
+
+
+def deal(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """docs (doc_id, text, held_out) with ``shard``, by a hash of id and text, and how many shards there are."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    shards = max(1, math.ceil(size / shard_bytes))
-    # for each partition a number that Spark's own hash sends there, so that no two shards share one
-    places = docs.sparkSession.range(shards * 40).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(shards)).alias("at"), F.col("id").cast("int").alias("id"))
-    numbers = [r["id"] for r in places.groupBy("at").agg(F.min("id").alias("id")).collect()]
-    shard = F.pmod(F.xxhash64("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))), F.lit(len(numbers))).cast("int")
-    dealt = docs.withColumn("shard", F.element_at(F.lit(sorted(numbers)), shard + 1)).repartition(shards, "shard")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list[np.ndarray]] = {}
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for shard, parts in known.items():
-                words = np.unique(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), shard, np.int32)), pa.array(words)], names=["shard", "word"])
-
-        for part, texts in chunked(batches, "text"):
-            keys, _, offsets = tokens(texts)
-            of = np.repeat(part.column(part.schema.get_field_index("shard")).to_numpy(zero_copy_only=False), np.diff(offsets))
-            for shard in np.unique(of).tolist():
-                mine = known.setdefault(shard, [])
-                mine.append(np.unique(keys[of == shard]))
-                if len(mine) > 8:
-                    known[shard] = [np.unique(np.concatenate(mine))]
-        yield from flushed()
-
-    asked = dealt.mapInArrow(ask, "shard int, word long")
-    slices = asked.join(model.words, "word").select("shard", "word", "held")
-    train_tokens, total, backoff, unknown = model.train_tokens, model.train_tokens + model.vocabulary + 1, model.backoff, model.unknown
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.combine_chunks().sort_by("word") if right.num_rows else right
-        words = right["word"].to_numpy()
-        if len(words):
-            held = right["held"].combine_chunks()
-            c, root, of, context, own = unpack(held.chunk(0) if isinstance(held, pa.ChunkedArray) else held)
-            pairs = words[of].astype(np.uint64) << np.uint64(4) | context.astype(np.uint64)
-            order = np.argsort(pairs)
-            pairs, own = pairs[order], own[order]
-        out = []
-        for part, texts in chunked(iter(left.to_batches()), "text"):
-            keys, after, offsets = tokens(texts)
-            pair, back = np.unique(keys.astype(np.uint64) << np.uint64(4) | after.astype(np.uint64), return_inverse=True)
-            word, context = (pair >> np.uint64(4)).astype(np.int64), (pair & np.uint64(15)).astype(np.int64)
-            known, p = np.zeros(len(pair), bool), np.full(len(pair), unknown)
-            n, mine = np.zeros(len(pair), np.int64), np.zeros(len(pair))
-            if len(words):
-                at = np.minimum(np.searchsorted(words, word), len(words) - 1)
-                known = words[at] == word
-                p[known], n[known] = root[at[known]], c[at[known]]
-                at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
-                hit = pairs[at] == pair
-                mine[hit] = own[at[hit]]
-            begin = offsets[:-1]
-            sums = [np.add.reduceat(x[back], begin) for x in (known.astype(np.int64), np.log10((n + 1) / total), np.log10(mine + backoff[context] * p))]
-            column = lambda k, part=part: part.column(part.schema.get_field_index(k))
-            out.append(pa.RecordBatch.from_arrays([column("doc_id"), column("held_out"), pa.array(np.diff(offsets)), pa.array(sums[0]), pa.array(np.full(len(texts), train_tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=_OUT.names))
-        return pa.Table.from_batches(out, _OUT)
-
-    return dealt.groupBy("shard").cogroup(slices.groupBy("shard")).applyInArrow(answer, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    shards = max(1, math.ceil(size / shard_bytes), min(LEAST_SHARDS, size >> 20))
+    shard = F.pmod(F.xxhash64("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))), F.lit(shards)).cast("int")
+    return docs.withColumn("shard", shard).repartition(shards, "shard"), shards
+
+
+def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """Texts (null: empty) and whether each is held out."""
+    return [x or b"" for x in table["text"].cast(pa.large_binary()).to_pylist()], np.array(table["held_out"].to_pylist(), bool)
+
+
+def fit(dealt: DataFrame, layout: Layout, burn: int = 2, keep: int = 3, strength: float = 1.0, seed: int = 7) -> Model:
+    """Train on the rows of dealt that are not held out, and answer the pairs of all rows. Probabilities are averaged over ``keep`` sweeps."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        texts, out = _texts(table)
+        shard = table["shard"][0].as_py()
+        pairs = Pairs(texts, ~out, layout)
+        parts = list(pairs.parts())
+        contexts = np.unique(pairs.context)
+        rows = [_rows(BLOB, len(parts), bucket=[b for b, _ in parts], shard=np.full(len(parts), shard), blob=[pairs.packed(p) for _, p in parts]), _rows(CONTEXT, len(contexts), shard=np.full(len(contexts), shard), key=contexts)]
+        give_back()
+        return pa.Table.from_batches(rows, _KINDS)
+
+    asked = materialise(dealt.groupBy("shard").applyInArrow(ask, _FOUND), "asked", "what")
+    by_bucket = lambda df: df.where(F.col("what") == BLOB).repartition(layout.buckets, "bucket")
+    summed = materialise(by_bucket(asked).groupBy("bucket").applyInArrow(_merged(layout), _FOUND), "summed", "what")
+    contexts = materialise(summed.where(F.col("what") == CONTEXT).groupBy("key").agg(F.sum("a").cast("long").alias("c"), F.sum("b").cast("long").alias("t0")), "contexts")
+
+    sums = {r[0]: r for r in _sums(summed, SUMS, "key")}
+    split = _sums(summed, SPLIT, "key", "shard")
+    ce = _split_table([r for r in split if r[1] >= 0], layout.hot, 2)
+    counts = np.zeros(len(layout.hot), np.int64)
+    for r in split:
+        if r[1] < 0:
+            counts[np.searchsorted(layout.hot, r[0])] = int(r[2])
+    te = (ce > 0).astype(np.int64)
+    root = (counts > 0).astype(np.int64)
+    classes = _sums(summed, CLASS, "key")
+    C, T = _by_class(classes, 1) + ce.sum(0), _by_class(classes, 2) + te.sum(0)
+    words = int(sums[0][1]) + int(root.sum()) if sums else 0
+    start = tuple(_discount(*sums[k][1:3]) if sums else 0.05 for k in (3, 2, 1))
+    first = Totals(C, T, int(T.sum()), words, start, strength, words, layout.hot, ce, te, root)
+    train_tokens = int(sums[0][2] + counts.sum()) if sums else 0
+
+    wanted = summed.where((F.col("what") == CONTEXT) & (F.col("bucket") >= 0)).select("bucket", "key")
+    wanted = materialise(wanted.join(contexts.select("key", "t0"), "key"), "wanted")
+    cores = summed.where(F.col("what") == BLOB).select("bucket", "blob")
+    burnt = cores.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_burnt(first, burn, seed), _FOUND)
+    burnt = materialise(burnt, "burnt", "what")
+    excess = lambda df: df.where(F.col("what") == CONTEXT).groupBy("key").agg(F.sum("a").alias("more"))
+    after = contexts.join(excess(burnt), "key", "left").select("key", "c", "t0", (F.col("t0") + F.coalesce("more", F.lit(0))).cast("long").alias("t1"))
+    after = materialise(after, "after")
+    size = F.when(F.col("t1") <= 64, F.col("t1")).otherwise(1000 + F.floor(F.log2("t1") * 16))
+    restaurants = [(r["n"], r["t"] / r["n"]) for r in after.where("t1 > 0").groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.sum("t1").alias("t")).orderBy("size").collect()]
+    second = _shared(first, burnt, restaurants, seed)
+
+    wanted = wanted.join(after.select("key", "t1"), "key")
+    kernel = _answered(first, second, counts, burn, keep, seed)
+    answers = by_bucket(asked).groupBy("bucket").cogroup(wanted.repartition(layout.buckets, "bucket").groupBy("bucket")).applyInArrow(kernel, _FOUND)
+    answers = materialise(answers, "answers", "what")
+    known = contexts.join(excess(answers), "key", "left").select("key", F.col("c").cast("double").alias("a"), (F.col("t0") + F.coalesce("more", F.lit(0.0))).alias("b"))
+    here = asked.where(F.col("what") == CONTEXT).select("shard", "key").join(known, "key", "left")
+    return Model(answers.where(F.col("what") == BLOB).select("shard", "bucket", "blob"), here, second, train_tokens)
+
+
+def score(dealt: DataFrame, model: Model, layout: Layout, shards: int) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row that :func:`fit` saw."""
+    totals, train_tokens = model.totals, model.train_tokens
+    s, d2 = totals.strength, totals.discounts[2]
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, out = _texts(left)
+        pairs = Pairs(texts, ~out, layout)
+        blob = right["bucket"].is_valid().combine_chunks()
+        held = {b: x for b, x in zip(right["bucket"].filter(blob).to_pylist(), right["blob"].filter(blob).to_pylist(), strict=True)}
+        contexts = right.filter(right["key"].is_valid())
+        keys = contexts["key"].to_numpy()
+        order = np.argsort(keys)
+        c, t = (np.nan_to_num(contexts[x].to_numpy())[order] for x in "ab")
+        at = np.searchsorted(keys[order], pairs.context)
+        weight, behind = s + d2 * t[at], s + c[at]
+        p, count = np.zeros(len(pairs.word)), np.zeros(len(pairs.word), np.int64)
+        for b, part in pairs.parts():
+            raw = held[b]
+            word = pairs.word[part]
+            begin = _runs(word)
+            n = len(word)
+            count[part] = np.repeat(np.frombuffer(raw, np.int64, len(begin)), np.diff(np.append(begin, n)))
+            own = np.frombuffer(raw, "<f4", n, 8 * len(begin)).astype(float)
+            entry = word << (_PAIR - _HASH) | pairs.context[part] >> _HASH
+            entries = _runs(entry)
+            given = np.repeat(np.frombuffer(raw, "<f4", len(entries), 8 * len(begin) + 4 * n).astype(float), np.diff(np.append(entries, n)))
+            p[part] = (own + weight[part] * given) / behind[part]
+        known, base, own = (count > 0).astype(np.int64), np.log10((count + 1) / (train_tokens + totals.words + 1)), np.log10(p)
+        begin, of = pairs.offsets[:-1], pairs.token
+        rows = [left["doc_id"].combine_chunks(), left["held_out"].combine_chunks(), np.diff(pairs.offsets), np.add.reduceat(known[of], begin), np.full(len(texts), train_tokens, np.int64), np.add.reduceat(base[of], begin), np.add.reduceat(own[of], begin)]
+        give_back()
+        return pa.Table.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in rows], schema=_OUT)
+
+    none = F.lit(None)
+    right = model.answers.select("shard", "bucket", none.cast("long").alias("key"), none.cast("double").alias("a"), none.cast("double").alias("b"), "blob")
+    right = right.union(model.contexts.select("shard", none.cast("int"), "key", "a", "b", none.cast("binary")))
+    return dealt.groupBy("shard").cogroup(right.repartition(shards, "shard").groupBy("shard")).applyInArrow(kernel, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
+def scores(docs: DataFrame, shard_bytes: int = SHARD_BYTES, **options) -> DataFrame:
+    """Scores of all rows of docs (doc_id, text, held_out) by a model of those not held out."""
+    dealt, shards = deal(docs, shard_bytes)
+    layout = hot_words(docs, shards)
+    return score(dealt, fit(dealt, layout, **options), layout, shards)
+
+
 def split(docs: DataFrame) -> DataFrame:
     """(doc_id, text, held_out): held out are the ids whose CRC-32 as text leaves 2 modulo 7."""
     crc = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
@@ -329,5 +524,4 @@ def split(docs: DataFrame) -> DataFrame:
 
 def op4(docs: DataFrame) -> DataFrame:
     """The digest of the contract."""
-    own = split(docs)
-    return score(own, train(own.where("NOT held_out")))
+    return scores(split(docs))
