@@ -12,9 +12,10 @@ go. Where an anchor has several classes, the match ends inside the run: there th
 earliest occurrence of each class is extended window by window against those of
 the other classes. Covered windows join up to maximal repeats of 20 words or more.
 
-Digests are 128 bits (anchor and class, or two hashes of a window). Nothing is
-collected by anchor, class or window: minima are combined before the shuffle and
-joined back, so one passage in a third of all documents stays spread out. Only a
+Words are compared by a 64-bit hash; anchors with classes and windows by 128 bits over
+those. Nothing is collected by anchor, class or window: minima are combined before the
+shuffle and joined back with hot keys salted, so that one passage in a third of all
+documents stays spread out. Only a
 document's own runs come together in one row.
 
 Defined cases: a null text has no words; fewer than 20 words are kept whole; windows
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import chunked, materialise, mix64, word_hashes, word_lists
+from dyadica.llm.common import chunked, join_hot, materialise, mix64, word_hashes, word_lists
 
 WINDOW, GRAM = 20, 6
 _SPAN = 32  # a run of windows is first * 32 + (windows - 1): at most 15 windows choose one anchor occurrence
@@ -132,17 +133,17 @@ def _windows(docs_with_spans: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the runs of windows of each document (doc_id, text) that start earlier elsewhere; repeats of an anchor's class inside one document are left to :func:`kept`."""
-    shared = _seeds(docs, whole=False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    seeds = materialise(_seeds(docs, whole=True).join(shared, "h"), "seeds")
-    classes = materialise(seeds.groupBy("h", "c").agg(F.min(F.struct("doc_id", "span")).alias("least")), "classes")
-    several = classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    edges = classes.join(several, "h").select(F.col("least.doc_id").alias("doc_id"), F.col("least.span").alias("span"))
+    shared = materialise(_seeds(docs, whole=False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    seeds = materialise(join_hot(_seeds(docs, whole=True), shared, ["h"], "n").drop("n"), "seeds")
+    classes = materialise(seeds.groupBy("h", "c").agg(F.min(F.struct("doc_id", "span")).alias("least"), F.count("*").alias("n")), "classes")
+    several = materialise(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "several")
+    edges = join_hot(classes, several, ["h"], "k").select(F.col("least.doc_id").alias("doc_id"), F.col("least.span").alias("span"))
     need = edges.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
     windows = materialise(_windows(docs.join(need, docs.doc_id.eqNullSafe(need.doc_id)).select(docs.doc_id, "text", "spans")), "windows")
-    earliest = windows.groupBy("p", "q").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    earliest = materialise(windows.groupBy("p", "q").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("n")).where("n > 1"), "earliest")
     late = F.struct("doc_id", "start") != F.col("least")
-    extended = windows.join(earliest, ["p", "q"]).where(late).select("doc_id", (F.col("start") * _SPAN).alias("span"))
-    equal = seeds.join(classes, ["h", "c"]).where(F.struct("doc_id", "span") != F.col("least")).select("doc_id", "span")
+    extended = join_hot(windows, earliest, ["p", "q"], "n").where(late).select("doc_id", (F.col("start") * _SPAN).alias("span"))
+    equal = join_hot(seeds, classes.where("n > 1"), ["h", "c"], "n").where(F.struct("doc_id", "span") != F.col("least")).select("doc_id", "span")
     return equal.union(extended).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
 
 
