@@ -5,7 +5,8 @@ shingles. Fingerprints at 4 or fewer differing bits are linked. A fingerprint is
 cut into three segments (22, 21 and 21 bits): of at most four differing bits, some
 segment holds at most one. So each segment is indexed once for each of its
 positions with that bit deleted (64 variants in all); fingerprints linked agree in
-one variant at least. Variants meet in an equality join and pairs are verified.
+one variant at least. Variants meet in an equality join and pairs are verified. Buckets'
+least fingerprints are minima combined before the shuffle; hot keys are salted.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero,
 linked like any other; a text of one to three words is one shingle; repeated rows
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import chunked, components, materialise, word_lists
+from dyadica.llm.common import chunked, components, fresh, join_hot, materialise, word_lists
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 #: First bit and width of each segment.
@@ -90,8 +91,8 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     held = F.call_function("shiftrightunsigned", F.col("fp"), low).bitwiseAND(mask.cast("long"))
     deleted = F.call_function("shiftleft", F.lit(1).cast("long"), (bit - low).cast("int"))
     variants = variants.select("fp", (F.col("bit").cast("long") * F.lit(1 << 22) + held.bitwiseAND(F.bitwise_not(deleted))).alias("key"))
-    bucket = Window.partitionBy("key")
-    shared = materialise(variants.withColumns({"hub": F.min("fp").over(bucket), "n": F.count("*").over(bucket)}).where("n > 1").drop("n"), "variants")
+    buckets = materialise(variants.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = materialise(join_hot(variants, buckets, ["key"], "n").select("fp", "key", "hub", "n"), "variants")
     masks = [((1 << w) - 1) << lo for lo, w in SEGMENTS]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     differ = lambda i: f"bit_count((a ^ b) & {masks[i]}L)"
@@ -109,25 +110,45 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return spokes.select("a", "b").union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-#: Fewer fingerprints than this each hold more than this part of all rows; their labels are broadcast.
-HOT = 1000
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """``(doc_id, fp, component_id)``: component_id is the smallest id reachable over links, the row's own included."""
+    """``(doc_id, fp, component_id)``: component_id is the smallest id reachable over links, the row's own included. Fingerprints and components that many rows share are salted where rows meet their component's id."""
     rows = materialise(fingerprints(docs, id_col, text_col), "prints")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    roots = materialise(components(links(prints, distance)), "roots")
-    grouped = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    label = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = grouped.where("root != fp").select("fp", "root").join(label, "root").select("fp", F.col("component_id").alias("far"))
-    alone = label.select(F.col("root").alias("fp"), F.col("component_id").alias("near"))
-    total = prints.agg(F.sum("n")).first()[0] or 0
-    ids = prints.select("fp", (F.col("n") * HOT > total).alias("hot")).join(linked, "fp", "left").join(alone, "fp", "left")
-    ids = materialise(ids.select("fp", "hot", F.coalesce("far", "near").alias("component_id")), "ids")
-    hot, cold = F.broadcast(ids.where("hot").drop("hot")), ids.where("NOT hot").drop("hot")
-    out = rows.join(hot, "fp").select("doc_id", "fp", "component_id")
-    return out.union(rows.join(hot, "fp", "left_anti").join(cold, "fp").select("doc_id", "fp", "component_id"))
+    roots = components(links(prints, distance))
+    linked = materialise(prints.join(roots, prints.fp == roots.node).select("fp", "least", "root"), "linked")
+    label = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "labels")
+    far = join_hot(linked, label, ["root"], "members").select("fp", "component_id")
+    ids = materialise(prints.join(far, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "ids")
+    return join_hot(rows, ids, ["fp"], "n").select("doc_id", "fp", "component_id")
+
+
+#: Ids that are broadcast to leave out rows (at about 50 bytes each in a task); more meet in a shuffle.
+MOST_IDS = 1_000_000
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs of which one stays of each group of linked fingerprints: the one with the smallest id; of rows that share that id, the least by their columns in order.
+
+    Rows that share an id are one document, which stays if it is least in the group of any
+    of them. Rows without an id are one document too, which stays only where no row of its
+    group has an id. Only ids are compared: texts are shuffled where over MOST_IDS ids go,
+    or an id that stays has several rows, and then only those rows.
+    """
+    near = near_duplicates(docs, id_col, text_col, distance)
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    verdict = materialise(near.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(own).alias("stays")).where("NOT stays OR n > 1"), "verdict")
+    goes, several = verdict.where("NOT stays").select("doc_id"), verdict.where("stays").select("doc_id")
+    kind, out = (fresh(docs, n) for n in ("__id", "__row"))
+    small = verdict.count() <= MOST_IDS
+    met = lambda ids: (F.broadcast(ids) if small else ids).withColumnRenamed("doc_id", kind)
+    same = docs[f"`{id_col}`"].eqNullSafe(F.col(kind))
+    left = docs.join(met(goes), same, "left_anti")
+    if several.isEmpty():
+        return left
+    same = left[f"`{id_col}`"].eqNullSafe(F.col(kind))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(met(several), same, "left_semi").groupBy(F.col(f"`{id_col}`").alias(kind)).agg(F.min(row).alias(out))
+    return left.join(met(several), same, "left_anti").union(one.select(f"{out}.*"))
 
 
 def op1(docs: DataFrame) -> DataFrame:
