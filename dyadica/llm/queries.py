@@ -48,32 +48,52 @@ GROUP BY w.doc_id
 
 
 def _op5(control: quality.Control = quality.Control()) -> str:
-    grid = [(rule, ratio, cut) for rule, ratio, cuts in control.rules for cut in cuts]
-    rate = control.risk / len(control.rules)
-    counts = ",\n".join(f"count(*) FILTER (WHERE ({ratio})::DOUBLE > {cut!r}::DOUBLE) AS k{i}" for i, (_, ratio, cut) in enumerate(grid))
-    tests = ", ".join(f"{{'rule': '{rule}', 'cut': {cut!r}::DOUBLE, 'k': k{i}}}" for i, (rule, _, cut) in enumerate(grid))
-    failed = " OR ".join(f"coalesce(({ratio})::DOUBLE > (SELECT min(cut) FROM safe WHERE safe.stratum = f.stratum AND rule = '{rule}'), false)" for rule, ratio, _ in control.rules)
+    """The rules, their lexicon and their tests, written out rule by rule and step by step."""
+    rules, levels = list(enumerate(control.rules)), max(len(cuts) for _, _, cuts in control.rules)
+    steps, share = len(rules) * levels, control.risk / (2 * len(rules))
+    each = lambda form, glue=", ": glue.join(form(r) for r, _ in rules)
+    past = ", ".join("CASE " + " ".join(f"WHEN ({ratio})::DOUBLE > {cuts[at]!r}::DOUBLE THEN {at}" for at in reversed(range(levels))) + f" ELSE -1 END AS u{r}" for r, (_, ratio, cuts) in rules)
+    strict = each(lambda r: "CASE " + " ".join(f"WHEN count(*) FILTER (WHERE u{r} >= {at}) <= count(*) * {share!r}::DOUBLE THEN {at}" for at in range(levels)) + f" ELSE {levels} END AS s{r}")
+    place = each(lambda r: " + ".join(f"(coalesce(b{q}, 0) > coalesce(b{r}, 0){f' OR coalesce(b{q}, 0) = coalesce(b{r}, 0)' if q < r else ''})::INT" for q, _ in rules if q != r) + f" AS o{r}")
+    first = each(lambda r: f"CASE WHEN u{r} >= s{r} THEN o{r} * {levels} + {levels - 1} - u{r} ELSE {steps} END")
+    tail = lambda k: f"CASE WHEN {k} >= n * {control.risk!r}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(0, {k} + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({control.risk!r}::DOUBLE) + (n - i) * ln(1 - {control.risk!r}::DOUBLE)))) END"
+    cuts = ", ".join(f"([{', '.join(map(repr, c))}]::DOUBLE[])[greatest(s{r}, {levels - 1} - (step - o{r} * {levels})) + 1] AS c{r}" for r, (_, _, c) in rules)
+    failed = " OR ".join(f"coalesce(({ratio})::DOUBLE > c{r}, false)" for r, (_, ratio, _) in rules)
+    chooses = "substring(md5(doc_id::VARCHAR), 1, 1) IN ('0', '1', '2', '3')"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {_WORDS} AS ws,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+                  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}]+') AS letters,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n
       FROM (SELECT doc_id, i, ws[i + 1 : i + 3] AS k FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 2, 0))) AS i FROM d))),
 r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM g, range(3) AS t(o) WHERE g.n > 1 GROUP BY doc_id),
+lab AS (SELECT doc_id, bool_and(coalesce(quality = 1, false)) AS fine, bool_or(coalesce(toxic = 1, false)) AS toxic, bool_and(coalesce(toxic = 0, false)) AS nice,
+               bool_and(coalesce(quality = 1 AND toxic = 0, false)) AS good FROM labels GROUP BY doc_id),
+said AS (SELECT stratum, word, count(*) FILTER (WHERE toxic) AS t, count(*) FILTER (WHERE NOT toxic) AS g
+         FROM (SELECT stratum, toxic, unnest(list_distinct(list_append(letters, ''))) AS word FROM d JOIN lab USING (doc_id) WHERE fine AND (toxic OR nice AND {chooses})) GROUP BY ALL),
+lex AS (SELECT word FROM said JOIN (SELECT stratum, t AS all_t, g AS all_g FROM said WHERE word = '') USING (stratum)
+        WHERE word != '' AND t >= {quality.LEAST_DOCS} AND t >= {quality.LEAST_SHARE} * all_t AND t * (all_g + 1) >= {quality.LEAST_LIFT} * all_t * (g + 0.5)
+        GROUP BY word ORDER BY sum(t) DESC, word LIMIT {quality.MOST_WORDS}),
 f AS (SELECT d.doc_id, stratum, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-             coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines
-      FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
-good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING bool_and(coalesce(quality = 1 AND toxic = 0, false))),
-held AS (SELECT f.* FROM f JOIN good USING (doc_id) WHERE NOT ({quality.BASE_FAILED})),
-counts AS (SELECT stratum, count(*) AS n, {counts} FROM held GROUP BY stratum),
-tested AS (SELECT stratum, n, unnest([{tests}], recursive := true) FROM counts),
-safe AS (SELECT stratum, rule, cut FROM tested
-         WHERE CASE WHEN k >= n * {rate!r}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
-               exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}::DOUBLE) + (n - i) * ln(1 - {rate!r}::DOUBLE)))) END
-               <= {control.error!r}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM f) * {len(grid)}))
+             coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+             len(list_filter(letters, lambda x: list_contains(toxic_words, x)))::BIGINT AS n_toxic
+      FROM d CROSS JOIN (SELECT coalesce(list(word), []) AS toxic_words FROM lex) LEFT JOIN r ON r.doc_id = d.doc_id),
+held AS (SELECT stratum, good, {chooses} AS chooses, {past} FROM f JOIN lab USING (doc_id) WHERE NOT ({quality.BASE_FAILED})),
+chosen AS (SELECT stratum, {strict} FROM held WHERE good AND chooses GROUP BY stratum),
+caught AS (SELECT stratum, {each(lambda r: f"count(*) FILTER (WHERE u{r} >= s{r}) AS b{r}")} FROM held JOIN chosen USING (stratum) WHERE NOT good GROUP BY stratum),
+ordered AS (SELECT chosen.*, {place} FROM chosen LEFT JOIN caught USING (stratum)),
+tested AS (SELECT ordered.*, least({steps}, {first}) AS first FROM held JOIN ordered USING (stratum) WHERE good AND NOT chooses),
+sums AS (SELECT {each(lambda r: f"s{r}, o{r}")}, stratum, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE first <= {j}) AS k{j}" for j in range(steps))} FROM tested GROUP BY ALL),
+tails AS (SELECT *, [{", ".join(tail(f"k{j}") for j in range(steps))}]::DOUBLE[] AS p FROM sums WHERE (1 - {control.risk!r}::DOUBLE) ** n <= {control.error!r}::DOUBLE),
+ranked AS (SELECT *, count(*) OVER () AS many, row_number() OVER (ORDER BY p[{steps}], stratum) AS rank FROM tails),
+done AS (SELECT *, bool_and(p[{steps}] <= {control.error!r}::DOUBLE / (many - rank + 1)) OVER (ORDER BY rank) AS done FROM ranked),
+levelled AS (SELECT *, {control.error!r}::DOUBLE / greatest(1, many - count(*) FILTER (WHERE done) OVER ()) AS level FROM done),
+stepped AS (SELECT *, len(list_filter(p, lambda x: x <= level)) - 1 AS step FROM levelled),
+safe AS (SELECT stratum, {cuts} FROM stepped WHERE step >= 0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({quality.BASE_FAILED}) AS base_failed,
        NOT ({quality.BASE_FAILED} OR {failed}) AS kept
-FROM f
+FROM f LEFT JOIN safe ON safe.stratum = f.stratum
 """
 
 

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from tests.llm.fixtures import all_docs, edge_docs, table, words
 
-from dyadica.llm import bpe, decontaminate, quality, simhash, substring
+from dyadica.llm import bpe, common, decontaminate, quality, simhash, substring
 
 
 def sha(x):
@@ -51,7 +51,7 @@ def test_simhash_equals_brute_force(spark, sf, monkeypatch, hot):
     prints = [(r.doc_id, fingerprint(r.text)) for r in rows]
     reach = least_reachable(prints)
     want = Counter((d, f"{f:016x}", reach[f]) for d, f in prints)
-    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(common, "HOT", hot)
     assert Counter(tuple(r)[:3] for r in simhash.op1(docs).collect()) == want
 
 
@@ -129,16 +129,32 @@ def test_quality_tail_is_the_exact_binomial(spark):
 def test_quality_cutoffs_hold_the_risk_and_reject_the_rest(spark):
     clean = " ".join(f"word{i}" for i in range(60))
     noisy = clean + " " + "$$$ ### " * 20
-    rows = [(i, clean, "en") for i in range(9000)] + [(i, noisy, "en") for i in range(9000, 9400)] + [(10_000, noisy, "fr"), (10_001, clean, None)]
+    rows = [(i, clean, "en") for i in range(900)] + [(i, noisy, "en") for i in range(900, 1000)] + [(10_000, noisy, "fr"), (10_001, clean, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, int(i < 9000), 0) for i in range(9400)] + [(5, None, 0), (6, 1, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i < 900), 0) for i in range(1000)] + [(5, None, 0), (6, 1, None)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.kept for r in quality.op5(docs, labels).collect()}
-    assert all(got[i] for i in range(9000)) and not any(got[i] for i in range(9000, 9400))
+    assert all(got[i] for i in range(900)) and not any(got[i] for i in range(900, 1000))
     assert got[10_000] and got[10_001]  # no labels, no cutoff
     assert all(r.kept != r.base_failed for r in quality.op5(docs, labels.limit(0)).collect())
     assert quality.op5(docs.limit(0), labels).count() == 0
 
 
+def test_quality_verdicts_equal_their_sql(spark):
+    """On the middle table, whose labels suffice for cutoffs and a lexicon."""
+    import duckdb
+
+    from dyadica.llm.queries import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.1"
+    with duckdb.connect() as db:
+        for t in ("documents", "labels"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        want = Counter(db.execute(ORACLES["op5_quality"]).fetchall())
+    got = Counter(map(tuple, QUERIES["op5_quality"](spark, folder).collect()))
+    assert got == want
+    assert sum(n for r, n in got.items() if not r[-1] and not r[-2]) > 100  # rejected by the method alone
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     P = pytest.importorskip("public_tokenizers")
@@ -156,7 +172,7 @@ def test_bpe_equals_the_library(spark, sf, tokenizer):
         want[r.doc_id, len(ids), sha(b"".join(i.to_bytes(4, "little") for i in ids)), sha(t.decode(ids, skip_special_tokens=False))] += 1
     assert Counter(tuple(r) for r in bpe.op6(docs, tokenizer).collect()) == want
     small = bpe.encode(edge_docs(spark), tokenizer, lexicon_size=3)
-    assert small.columns == [*edge_docs(spark).columns, "ids", "decoded"] and small.count() == edge_docs(spark).count()
+    assert small.columns == [*edge_docs(spark).columns, "ids", "decoded"] and bpe.encode(small, tokenizer).columns == small.columns and small.count() == edge_docs(spark).count()
     assert bpe.op6(docs.limit(0), tokenizer).count() == 0
 
 
@@ -206,6 +222,13 @@ def test_decontamination_equals_brute_force(spark, sf):
     assert not any(r.contaminated for r in decontaminate.op10(docs, bench.limit(0)).collect())
 
 
+def test_benchmark_block_takes_few_bytes_a_word():
+    items = [(str(i), b" ".join(b"w%d" % ((i * 7919 + j * j) % 90_001) for j in range(100))) for i in range(2000)]
+    w = decontaminate.Windows(items)
+    held = len(w.text) + w.begin.nbytes + w.vocabulary.nbytes + w.first.nbytes + sum(a.nbytes + b.nbytes for a, b in w.widths.values())
+    assert held < 60 * 200_000
+
+
 def test_spans_are_removed_and_clean_documents_left(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     docs = spark.createDataFrame(
