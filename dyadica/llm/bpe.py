@@ -12,7 +12,8 @@ first, as they may stand anywhere.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string;
 repeated rows and null ids each get their row; an empty table gives an empty lexicon
-and result; other columns pass through the operator and are not read.
+and result; other columns pass through, but for those named ``ids`` or ``decoded``,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import CHUNK_BYTES, chunked, give_back, materialise, publish
+from dyadica.llm.common import CHUNK_BYTES, chunked, fresh, give_back, materialise, publish, without
 
 LEXICON_SIZE = 65_536
 #: Distinct chunks that a worker counts or pieces that it remembers at once; of chunks it remembers twice as many, at about 200 bytes.
@@ -256,16 +257,17 @@ class Lexicon:
         return line + b"".join(body)
 
     @classmethod
-    def mapped(cls, image: bytes, path: str | None = None) -> Lexicon:
-        """The lexicon from its file in the shared folder, mapped so that workers of a machine share its pages; without such a file, from anonymous mapped memory."""
-        if path and os.path.exists(path):
-            raw = np.memmap(path, np.uint8, "r")
+    def mapped(cls, image: bytes | None, path: str | None = None) -> Lexicon:
+        """The lexicon from its file in the shared folder, mapped so that workers of a machine share its pages; where that is no mounted folder, from the image in anonymous mapped memory."""
+        if path:
+            with open(path, "rb") as f:
+                held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         else:
             held = mmap.mmap(-1, max(1, len(image)))
             held[: len(image)] = image
-            raw = np.frombuffer(held, np.uint8)
-        start = image.index(b"\n") + 1
-        return cls({k: raw[start + at : start + at + np.dtype(kind).itemsize * n].view(kind) for k, (kind, n, at) in json.loads(image[:start]).items()})
+        raw = np.frombuffer(held, np.uint8)
+        start = held.find(b"\n") + 1
+        return cls({k: raw[start + at : start + at + np.dtype(kind).itemsize * n].view(kind) for k, (kind, n, at) in json.loads(held[:start]).items()})
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 if absent: all words walk the automaton abreast, a byte at a time."""
@@ -337,7 +339,7 @@ def frequent_chunks(docs: DataFrame, text_col: str = "text", size: int = LEXICON
 class Coder:
     """What a worker holds: the mapped lexicon, the merger, and the ids of the last chunks seen."""
 
-    def __init__(self, config: str, image: bytes, path: str | None = None):
+    def __init__(self, config: str, image: bytes | None, path: str | None = None):
         self.merger, self.lexicon = Merger(config), Lexicon.mapped(image, path)
         self.memo: dict[bytes, bytes] = {}
 
@@ -361,11 +363,11 @@ class Coder:
         return [b"".join([memo[w] for w in x]) for x in lists]
 
 
-_coders: dict[bytes, Coder] = {}
+_coders: dict[str, Coder] = {}
 
 
-def _coder(config: str, image: bytes, path: str | None) -> Coder:
-    key = hashlib.sha256(image).digest()
+def _coder(config: str, image: bytes | None, path: str | None) -> Coder:
+    key = path or hashlib.sha256(image).hexdigest()
     if key not in _coders:
         _coders.clear()
         _coders[key] = Coder(config, image, path)
@@ -382,22 +384,24 @@ def encode(docs: DataFrame, tokenizer: str, *, text_col: str = "text", lexicon_s
     words = {w: np.frombuffer(x, "<u4").tolist() for w, x in zip(frequent, found, strict=True)}
     spark = docs.sparkSession
     image = Lexicon.packed(Lexicon.compiled(words))
-    held = spark.sparkContext.broadcast((config, image, publish(spark, image, "lexicon")))
-    names = docs.columns
+    path = publish(spark, image, "lexicon")
+    held = spark.sparkContext.broadcast((config, None if path else image, path))
+    names, text = without(docs.columns, "ids", "decoded"), fresh(docs, "__text")
+    own = docs.select(*[docs[f"`{c}`"] for c in names], docs[f"`{text_col}`"].alias(text))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(*held.value)
         tokens = np.array([coder.merger.tokens.get(i, "") for i in range(max(coder.merger.tokens) + 1)], object)
-        for part, texts in chunked(batches, text_col, CHUNK_BYTES // 2):
+        for part, texts in chunked(batches, text, CHUNK_BYTES // 2):
             ids = coder.encoded(texts)
             decoded = [" ".join(tokens[np.frombuffer(x, "<u4")].tolist()) for x in ids]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
         _coders.clear()  # a task's words are mostly its own; a worker that waits holds nothing
         del coder, tokens
         give_back()
 
-    schema = docs.limit(0).withColumns({"ids": F.lit(None).cast("binary"), "decoded": F.lit(None).cast("string")}).schema
-    return docs.mapInArrow(kernel, schema)
+    schema = own.drop(text).limit(0).withColumns({"ids": F.lit(None).cast("binary"), "decoded": F.lit(None).cast("string")}).schema
+    return own.mapInArrow(kernel, schema)
 
 
 def op6(docs: DataFrame, tokenizer: str) -> DataFrame:

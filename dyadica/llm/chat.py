@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 CONTROLS = (r"\[/?INST\]", r"\[(?:TURN|SAYS|NEXT|END)\]", r"</?s>")
 _AHEAD = r"(?=/?INST\\]|(?:TURN|SAYS|NEXT|END)\\]|/?s>)"
 LEARNER = "assistant"
+#: Pieces of a conversation that one fold walks.
+_BLOCK = 256
 
 
 def _escaped(x: str) -> str:
@@ -45,7 +47,12 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     said = f"transform(b, (t, i) -> array({piece("if(i = 0, '', '[NEXT]')", 'false')}, {piece(_escaped('t.text'), f"t.role = '{LEARNER}'")}))"
     head = piece(f"concat('[TURN]', {_escaped('b[0].role')}, '[SAYS]')", "false")
     chats = chats.withColumn("pieces", F.expr(f"flatten(transform(blocks, b -> concat(array({head}), flatten({said}), array({piece("'[END]'", 'false')}))))"))
-    spans = "aggregate(pieces, named_struct('at', 3, 'spans', cast(array() AS array<struct<start:int,end:int>>)), (a, p) -> named_struct('at', a.at + length(p.text), 'spans', if(p.own, concat(a.spans, array(named_struct('start', a.at, 'end', a.at + length(p.text)))), a.spans)), a -> a.spans)"
+    # two levels of folds, since a fold copies the list that it carries: pieces in blocks, then blocks
+    chats = chats.withColumn("parts", F.expr(f"transform(sequence(0, (size(pieces) - 1) div {_BLOCK}), i -> slice(pieces, i * {_BLOCK} + 1, {_BLOCK}))"))
+    starts = "aggregate(parts, named_struct('at', 3, 'starts', cast(array() AS array<int>)), (a, b) -> named_struct('at', a.at + aggregate(b, 0, (n, p) -> n + length(p.text)), 'starts', concat(a.starts, array(a.at))), a -> a.starts)"
+    own = "concat(a.spans, array(named_struct('start', a.at, 'end', a.at + length(p.text))))"
+    inside = f"aggregate(x.part, named_struct('at', x.start, 'spans', cast(array() AS array<struct<start:int,end:int>>)), (a, p) -> named_struct('at', a.at + length(p.text), 'spans', if(p.own, {own}, a.spans)), a -> a.spans)"
+    spans = f"flatten(transform(arrays_zip(parts AS part, {starts} AS start), x -> {inside}))"
     return chats.select("conv_id", F.expr("concat('<s>', array_join(transform(pieces, p -> p.text), ''), '</s>')").alias("formatted"), F.expr(spans).alias("loss_spans"))
 
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import local_path, materialise, shared_path
+from dyadica.llm.common import join_hot, local_path, materialise, shared_path
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
@@ -120,8 +120,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """Write all rows as archives under folder; (file, bytes, records) of each."""
     payload = F.coalesce(F.encode(F.col(payload_col), "UTF-8") if dict(pages.dtypes)[payload_col] == "string" else F.col(payload_col), F.lit(b""))
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    lasts = own.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    records = own.join(lasts, "digest", "left").select("id", "url", "payload", F.when(F.col("last") != F.coalesce("id", F.col("last") - 1), F.col("last")).alias("refers_to"))
+    lasts = materialise(own.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1"), "lasts")
+    records = join_hot(own, lasts, ["digest"], "n", "left").select("id", "url", "payload", F.when(F.col("last") != F.coalesce("id", F.col("last") - 1), F.col("last")).alias("refers_to"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -157,7 +157,7 @@ class RangeReader:
 
     def __init__(self, file, begin: int, end: int):
         self.file, self.end = file, end
-        self.at, self.held = begin, b""
+        self.start, self.held, self.at = begin, bytearray(), 0  # held begins at start in the file; at is the place in it
         self.file.seek(begin)
 
     def _more(self) -> bool:
@@ -165,28 +165,35 @@ class RangeReader:
         self.held += new
         return bool(new)
 
+    def _pass(self, to: int) -> None:
+        """Go on to a place in what is held, and let go what lies far behind."""
+        self.at = to
+        if to >= _READ:
+            del self.held[:to]
+            self.start, self.at = self.start + to, 0
+
     def _candidate(self) -> bool:
         """Move to the next magic that starts before the range's end."""
         while True:
-            i = self.held.find(MAGIC)
+            i = self.held.find(MAGIC, self.at)
             if i >= 0:
-                self.at, self.held = self.at + i, self.held[i:]
-                return self.at < self.end
-            keep = min(len(self.held), len(MAGIC) - 1)
-            self.at, self.held = self.at + len(self.held) - keep, self.held[len(self.held) - keep :]
-            if self.at >= self.end or not self._more():
+                self._pass(i)
+                return self.start + self.at < self.end
+            self._pass(max(self.at, len(self.held) - len(MAGIC) + 1))
+            if self.start + self.at >= self.end or not self._more():
                 return False
 
-    def _inflated(self) -> tuple[bytes, bytes] | None:
-        """The member at the start and what follows it, None if it is no record."""
+    def _inflated(self) -> tuple[bytes, int] | None:
+        """The member at the place and where it ends in what is held, None if it is no record."""
         unpacker = zlib.decompressobj(31)
-        pieces, head, checked, given = [], bytearray(), False, 0
+        pieces, head, checked, given = [], bytearray(), False, self.at
         try:
             while not unpacker.eof:
                 if given == len(self.held) and not self._more():
                     return None
-                new = unpacker.decompress(self.held[given:])
-                given = len(self.held)
+                step = bytes(memoryview(self.held)[given : given + _READ])
+                given += len(step)
+                new = unpacker.decompress(step)
                 pieces.append(new)
                 if not checked:
                     seen = max(0, len(head) - 3)
@@ -200,19 +207,19 @@ class RangeReader:
                         head.clear()
         except zlib.error:
             return None
-        return b"".join(pieces), unpacker.unused_data
+        return b"".join(pieces), given - len(unpacker.unused_data)
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], bytes]]:
         while self._candidate():
             found = self._inflated()
             if found is None:
-                self.at, self.held = self.at + 1, self.held[1:]
+                self._pass(self.at + 1)
                 continue
-            raw, rest = found
+            raw, after = found
             fields = _header(raw)
             begin = raw.index(b"\r\n\r\n") + 4
             yield fields, raw[begin : begin + int(fields["content-length"])]
-            self.at, self.held = self.at + len(self.held) - len(rest), rest
+            self._pass(after)
 
 
 _COLUMNS = (("file", "string"), ("record_type", "string"), ("page_id", "long"), ("url", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("refers_to", "long"), ("payload", "binary"))
