@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dyadica.llm import bpe, decontaminate, pii, quality, simhash
 from dyadica.llm.common import materialise
@@ -22,9 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays; rows without an id stay only where none of their group has one."""
-    stays = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("own")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+    """Of each group of linked fingerprints one row stays."""
+    return simhash.keep_one(docs)
 
 
 def decontaminate_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
