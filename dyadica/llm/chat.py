@@ -51,8 +51,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     chats = chats.withColumn("parts", F.expr(f"transform(sequence(0, (size(pieces) - 1) div {_BLOCK}), i -> slice(pieces, i * {_BLOCK} + 1, {_BLOCK}))"))
     starts = "aggregate(parts, named_struct('at', 3, 'starts', cast(array() AS array<int>)), (a, b) -> named_struct('at', a.at + aggregate(b, 0, (n, p) -> n + length(p.text)), 'starts', concat(a.starts, array(a.at))), a -> a.starts)"
     own = "concat(a.spans, array(named_struct('start', a.at, 'end', a.at + length(p.text))))"
-    inside = f"aggregate(x.part, named_struct('at', x.start, 'spans', cast(array() AS array<struct<start:int,end:int>>)), (a, p) -> named_struct('at', a.at + length(p.text), 'spans', if(p.own, {own}, a.spans)), a -> a.spans)"
-    spans = f"flatten(transform(arrays_zip(parts AS part, {starts} AS start), x -> {inside}))"
+    inside = f"aggregate(part, named_struct('at', start, 'spans', cast(array() AS array<struct<start:int,end:int>>)), (a, p) -> named_struct('at', a.at + length(p.text), 'spans', if(p.own, {own}, a.spans)), a -> a.spans)"
+    spans = f"flatten(zip_with(parts, {starts}, (part, start) -> {inside}))"
     return chats.select("conv_id", F.expr("concat('<s>', array_join(transform(pieces, p -> p.text), ''), '</s>')").alias("formatted"), F.expr(spans).alias("loss_spans"))
 
 
