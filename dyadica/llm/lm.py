@@ -48,7 +48,11 @@ from dyadica.llm.common import chunked, give_back, materialise, mix64, word_hash
 from dyadica.llm.seating import CLASSES, Core, Parent, Seats, Totals, binned, draw, draw_discount, rho
 
 END = 0
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
+#: Shards by buckets.
+SHARDS_EACH = 3
+#: Text bytes cut into words at a time.
+PIECE = 1 << 20
 #: Shards at least, where each has a megabyte, so that small inputs use all cores.
 LEAST_SHARDS = 16
 HOT_PARTS = 4096
@@ -103,13 +107,33 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(x, prepend=x[0] - 1)) if len(x) else np.zeros(0, np.int64)
 
 
+def _in_pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of all texts, cut a piece at a time."""
+    found, held, size = [], [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= PIECE:
+            found.append(tokens(held))
+            held, size = [], 0
+    if held or not found:
+        found.append(tokens(held))
+    begin = np.cumsum([0, *[len(f[0]) for f in found]])
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([[0], *[f[2][1:] + b for f, b in zip(found, begin.tolist(), strict=False)]])
+
+
 class Pairs:
     """A shard's distinct pairs of word and context by bucket, word and context, and which of them each token is."""
 
     def __init__(self, texts: list[bytes], trains: np.ndarray, layout: Layout):
-        keys, contexts, self.offsets = tokens(texts)
+        keys, contexts, self.offsets = _in_pieces(texts)
         self.words, word = np.unique(keys, return_inverse=True)
-        both, self.token = np.unique(word << _PAIR | contexts, return_inverse=True)
+        del keys
+        word <<= _PAIR
+        word |= contexts
+        del contexts
+        both, self.token = np.unique(word, return_inverse=True)
+        del word
         n = np.bincount(self.token, np.repeat(trains, np.diff(self.offsets)), len(both)).astype(np.int64)
         bucket = layout.bucket(self.words[both >> _PAIR], both & _CTX)
         order = np.argsort(bucket, kind="stable")
@@ -262,6 +286,7 @@ def _merged(layout: Layout):
             # customers of a level once and twice, by which discounts start
             _rows(SUMS, 4, key=np.arange(4), a=[(~split & (count > 0)).sum(), (n == 1).sum(), (inside == 1).sum(), (tables == 1).sum()], b=[count[~split].sum(), (n == 2).sum(), (inside == 2).sum(), (tables == 2).sum()]),
         ]
+        give_back()
         return pa.Table.from_batches(out, _KINDS)
 
     return kernel
@@ -311,6 +336,7 @@ def _burnt(first: Totals, burn: int, seed: int):
         for level, n, t in ((0, seats.c0[word], seats.t0[word]), (1, seats.ce[cold], seats.te[cold]), (2, core.pair_n, seats.pt)):
             keys, many, sum_n, sum_t = binned(n, t)
             out.append(_rows(BINS, len(keys), shard=np.full(len(keys), level), key=keys, a=many, b=sum_n, c=sum_t))
+        give_back()
         return pa.Table.from_batches(out, _KINDS)
 
     return kernel
@@ -388,6 +414,8 @@ def _answered(first: Totals, second: Totals, counts: np.ndarray, burn: int, keep
             answers.append(b"".join([count[words].tobytes(), own[pairs].astype("<f4").tobytes(), given[entries[_runs(entries)]].astype("<f4").tobytes()]))
         more = np.bincount(seats.ctx, tables - 1, len(contexts))
         out = [_rows(BLOB, len(shards), bucket=np.full(len(shards), bucket), shard=shards, blob=answers), _rows(CONTEXT, int((more > 0).sum()), key=contexts[more > 0], a=more[more > 0])]
+        del held, seats, core, blobs, answers
+        give_back()
         return pa.Table.from_batches(out, _KINDS)
 
     return kernel
@@ -512,7 +540,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
 def scores(docs: DataFrame, shard_bytes: int = SHARD_BYTES, **options) -> DataFrame:
     """Scores of all rows of docs (doc_id, text, held_out) by a model of those not held out."""
     dealt, shards = deal(docs, shard_bytes)
-    layout = hot_words(docs, shards)
+    layout = hot_words(docs, -(-shards // SHARDS_EACH))
     return score(dealt, fit(dealt, layout, **options), layout, shards)
 
 
