@@ -53,11 +53,31 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: The session's setting by which a query's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet (in folders by a column, if one is given) in the shared folder and read it back: lineage ends there, and lost executors cost nothing that was written."""
-    path = shared_path(df.sparkSession, label)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet (in folders by a column, if one is given) in the shared folder and read it back: lineage ends there, and lost executors cost nothing that was written. The shuffle files of the write go with its end."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(table: DataFrame, part: str = "") -> None:
+    """Delete a table that :func:`materialise` made, or one of its folders, when nothing is left to read it."""
+    _remove(table.sparkSession, table.written_to + (f"/{part}" if part else ""))
 
 
 def without(columns: list[str], *names: str) -> list[str]:

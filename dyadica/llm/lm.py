@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import chunked, give_back, materialise, mix64, word_hashes, word_lists
+from dyadica.llm.common import chunked, discard, give_back, materialise, mix64, word_hashes, word_lists
 from dyadica.llm.seating import CLASSES, Core, Parent, Seats, Totals, binned, draw, draw_discount, rho
 
 END = 0
@@ -475,9 +475,11 @@ def fit(dealt: DataFrame, layout: Layout, burn: int = 2, keep: int = 3, strength
 
     wanted = summed.where((F.col("what") == CONTEXT) & (F.col("bucket") >= 0)).select("bucket", "key")
     wanted = materialise(wanted.join(contexts.select("key", "t0"), "key"), "wanted")
+    discard(summed, f"what={CONTEXT}")
     cores = summed.where(F.col("what") == BLOB).select("bucket", "blob")
     burnt = cores.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_burnt(first, burn, seed), _FOUND)
     burnt = materialise(burnt, "burnt", "what")
+    discard(summed)
     excess = lambda df: df.where(F.col("what") == CONTEXT).groupBy("key").agg(F.sum("a").alias("more"))
     after = contexts.join(excess(burnt), "key", "left").select("key", "c", "t0", (F.col("t0") + F.coalesce("more", F.lit(0))).cast("long").alias("t1"))
     after = materialise(after, "after")
@@ -489,6 +491,7 @@ def fit(dealt: DataFrame, layout: Layout, burn: int = 2, keep: int = 3, strength
     kernel = _answered(first, second, counts, burn, keep, seed)
     answers = by_bucket(asked).groupBy("bucket").cogroup(wanted.repartition(layout.buckets, "bucket").groupBy("bucket")).applyInArrow(kernel, _FOUND)
     answers = materialise(answers, "answers", "what")
+    discard(asked, f"what={BLOB}")
     known = contexts.join(excess(answers), "key", "left").select("key", F.col("c").cast("double").alias("a"), (F.col("t0") + F.coalesce("more", F.lit(0.0))).alias("b"))
     here = asked.where(F.col("what") == CONTEXT).select("shard", "key").join(known, "key", "left")
     return Model(answers.where(F.col("what") == BLOB).select("shard", "bucket", "blob"), here, second, train_tokens)
