@@ -50,14 +50,14 @@ from dyadica.llm.seating import CLASSES, Core, Parent, Seats, Totals, binned, dr
 END = 0
 SHARD_BYTES = 6 << 20
 #: Shards by buckets.
-SHARDS_EACH = 3
+SHARDS_EACH = 1
 #: Text bytes cut into words at a time.
 PIECE = 1 << 20
 #: Shards at least, where each has a megabyte, so that small inputs use all cores.
 LEAST_SHARDS = 16
 HOT_PARTS = 4096
 #: Tokens that a worker counts at once when it looks for hot words.
-HELD = 2_000_000
+HELD = 1_000_000
 _HASH = 34
 _CTX = (1 << 40) - 1
 #: Words and contexts of a shard or bucket are paired in one number: place of the word, then context.
@@ -174,14 +174,16 @@ class Bucket:
     """The pairs of all shards in a bucket, added up."""
 
     def __init__(self, blobs: list[bytes]):
-        self.asked = [unpacked(b) for b in blobs]
-        self.words, at = np.unique(np.concatenate([a[0] for a in self.asked]), return_inverse=True)
-        ends = np.cumsum([len(a[0]) for a in self.asked])
-        self.word_at = np.split(at, ends[:-1])
-        both = np.concatenate([np.repeat(w, a[1]) << _PAIR | a[2] for w, a in zip(self.word_at, self.asked, strict=True)])
+        asked = [unpacked(b) for b in blobs]
+        self.words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        self.word_at = np.split(at, np.cumsum([len(a[0]) for a in asked])[:-1])
+        both = np.concatenate([np.repeat(w, a[1]) << _PAIR | a[2] for w, a in zip(self.word_at, asked, strict=True)])
+        n, ends = np.concatenate([a[3] for a in asked]), np.cumsum([len(a[2]) for a in asked])[:-1]
+        del asked
         self.both, at = np.unique(both, return_inverse=True)
-        self.pair_at = np.split(at, np.cumsum([len(a[2]) for a in self.asked])[:-1])
-        self.n = np.bincount(at, np.concatenate([a[3] for a in self.asked]), len(self.both)).astype(np.int64)
+        del both
+        self.pair_at = np.split(at, ends)
+        self.n = np.bincount(at, n, len(self.both)).astype(np.int64)
         self.seen = self.n > 0
 
     def core(self) -> Core:
