@@ -38,8 +38,10 @@ import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,17 +124,26 @@ def _in_pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([[0], *[f[2][1:] + b for f, b in zip(found, begin.tolist(), strict=False)]])
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and the place of each element among them; hashed, so that only distinct ones are sorted."""
+    place, values = pd.factorize(x)
+    order = np.argsort(values)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return values[order], rank[place]
+
+
 class Pairs:
     """A shard's distinct pairs of word and context by bucket, word and context, and which of them each token is."""
 
     def __init__(self, texts: list[bytes], trains: np.ndarray, layout: Layout):
         keys, contexts, self.offsets = _in_pieces(texts)
-        self.words, word = np.unique(keys, return_inverse=True)
+        self.words, word = _distinct(keys)
         del keys
         word <<= _PAIR
         word |= contexts
         del contexts
-        both, self.token = np.unique(word, return_inverse=True)
+        both, self.token = _distinct(word)
         del word
         n = np.bincount(self.token, np.repeat(trains, np.diff(self.offsets)), len(both)).astype(np.int64)
         bucket = layout.bucket(self.words[both >> _PAIR], both & _CTX)
@@ -175,12 +186,12 @@ class Bucket:
 
     def __init__(self, blobs: list[bytes]):
         asked = [unpacked(b) for b in blobs]
-        self.words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        self.words, at = _distinct(np.concatenate([a[0] for a in asked]))
         self.word_at = np.split(at, np.cumsum([len(a[0]) for a in asked])[:-1])
         both = np.concatenate([np.repeat(w, a[1]) << _PAIR | a[2] for w, a in zip(self.word_at, asked, strict=True)])
         n, ends = np.concatenate([a[3] for a in asked]), np.cumsum([len(a[2]) for a in asked])[:-1]
         del asked
-        self.both, at = np.unique(both, return_inverse=True)
+        self.both, at = _distinct(both)
         del both
         self.pair_at = np.split(at, ends)
         self.n = np.bincount(at, n, len(self.both)).astype(np.int64)
@@ -198,8 +209,10 @@ class Bucket:
 
 _FOUND = "what int, bucket int, shard int, key long, a double, b double, c double, blob binary"
 _KINDS = pa.schema([("what", pa.int32()), ("bucket", pa.int32()), ("shard", pa.int32()), ("key", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("c", pa.float64()), ("blob", pa.binary())])
-#: What rows hold: packed pairs or answers; contexts; sums by class; sums by word of the split ones; bins of tables; others.
-BLOB, CONTEXT, CLASS, SPLIT, BINS, SUMS = range(6)
+#: What rows hold: contexts; sums by class; sums by word of the split ones; bins of tables; others; packed pairs or answers.
+CONTEXT, CLASS, SPLIT, BINS, SUMS, BLOB = range(6)
+#: Packed pairs are held in so many folders by bucket, and answered and deleted one after the other.
+FOLDERS = 4
 
 
 def _rows(what: int, n: int, **columns) -> pa.RecordBatch:
@@ -450,13 +463,13 @@ def fit(dealt: DataFrame, layout: Layout, burn: int = 2, keep: int = 3, strength
         pairs = Pairs(texts, ~out, layout)
         parts = list(pairs.parts())
         contexts = np.unique(pairs.context)
-        rows = [_rows(BLOB, len(parts), bucket=[b for b, _ in parts], shard=np.full(len(parts), shard), blob=[pairs.packed(p) for _, p in parts]), _rows(CONTEXT, len(contexts), shard=np.full(len(contexts), shard), key=contexts)]
+        rows = [_rows(BLOB, len(parts), what=BLOB + np.array([b % FOLDERS for b, _ in parts], np.int32), bucket=[b for b, _ in parts], shard=np.full(len(parts), shard), blob=[pairs.packed(p) for _, p in parts]), _rows(CONTEXT, len(contexts), shard=np.full(len(contexts), shard), key=contexts)]
         give_back()
         return pa.Table.from_batches(rows, _KINDS)
 
     asked = materialise(dealt.groupBy("shard").applyInArrow(ask, _FOUND), "asked", "what")
-    by_bucket = lambda df: df.where(F.col("what") == BLOB).repartition(layout.buckets, "bucket")
-    summed = materialise(by_bucket(asked).groupBy("bucket").applyInArrow(_merged(layout), _FOUND), "summed", "what")
+    by_bucket = lambda df: df.repartition(layout.buckets, "bucket")
+    summed = materialise(by_bucket(asked.where(F.col("what") >= BLOB)).groupBy("bucket").applyInArrow(_merged(layout), _FOUND), "summed", "what")
     contexts = materialise(summed.where(F.col("what") == CONTEXT).groupBy("key").agg(F.sum("a").cast("long").alias("c"), F.sum("b").cast("long").alias("t0")), "contexts")
 
     sums = {r[0]: r for r in _sums(summed, SUMS, "key")}
@@ -485,16 +498,22 @@ def fit(dealt: DataFrame, layout: Layout, burn: int = 2, keep: int = 3, strength
     excess = lambda df: df.where(F.col("what") == CONTEXT).groupBy("key").agg(F.sum("a").alias("more"))
     after = contexts.join(excess(burnt), "key", "left").select("key", "c", "t0", (F.col("t0") + F.coalesce("more", F.lit(0))).cast("long").alias("t1"))
     after = materialise(after, "after")
+    discard(contexts)
     size = F.when(F.col("t1") <= 64, F.col("t1")).otherwise(1000 + F.floor(F.log2("t1") * 16))
     restaurants = [(r["n"], r["t"] / r["n"]) for r in after.where("t1 > 0").groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.sum("t1").alias("t")).orderBy("size").collect()]
     second = _shared(first, burnt, restaurants, seed)
 
-    wanted = wanted.join(after.select("key", "t1"), "key")
+    wanted = materialise(wanted.join(after.select("key", "t1"), "key"), "wanted")
     kernel = _answered(first, second, counts, burn, keep, seed)
-    answers = by_bucket(asked).groupBy("bucket").cogroup(wanted.repartition(layout.buckets, "bucket").groupBy("bucket")).applyInArrow(kernel, _FOUND)
-    answers = materialise(answers, "answers", "what")
-    discard(asked, f"what={BLOB}")
-    known = contexts.join(excess(answers), "key", "left").select("key", F.col("c").cast("double").alias("a"), (F.col("t0") + F.coalesce("more", F.lit(0.0))).alias("b"))
+    answers = []
+    for folder in range(FOLDERS):
+        mine = asked.where(F.col("what") == BLOB + folder)
+        theirs = wanted.where(F.col("bucket") % FOLDERS == folder)
+        found = by_bucket(mine).groupBy("bucket").cogroup(by_bucket(theirs).groupBy("bucket")).applyInArrow(kernel, _FOUND)
+        answers.append(materialise(found, "answers", "what"))
+        discard(asked, f"what={BLOB + folder}")
+    answers = reduce(DataFrame.union, answers)
+    known = after.join(excess(answers), "key", "left").select("key", F.col("c").cast("double").alias("a"), (F.col("t0") + F.coalesce("more", F.lit(0.0))).alias("b"))
     here = asked.where(F.col("what") == CONTEXT).select("shard", "key").join(known, "key", "left")
     return Model(answers.where(F.col("what") == BLOB).select("shard", "bucket", "blob"), here, second, train_tokens)
 
