@@ -71,6 +71,7 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
         else:
             spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
+    out = out.select(*df.columns) if by else out  # folders' columns are read last
     out.written_to = path
     return out
 

@@ -143,7 +143,7 @@ class Pairs:
         word <<= _PAIR
         word |= contexts
         del contexts
-        both, self.token = _distinct(word)
+        both, self.token = np.unique(word, return_inverse=True)
         del word
         n = np.bincount(self.token, np.repeat(trains, np.diff(self.offsets)), len(both)).astype(np.int64)
         bucket = layout.bucket(self.words[both >> _PAIR], both & _CTX)
@@ -191,7 +191,7 @@ class Bucket:
         both = np.concatenate([np.repeat(w, a[1]) << _PAIR | a[2] for w, a in zip(self.word_at, asked, strict=True)])
         n, ends = np.concatenate([a[3] for a in asked]), np.cumsum([len(a[2]) for a in asked])[:-1]
         del asked
-        self.both, at = _distinct(both)
+        self.both, at = np.unique(both, return_inverse=True)
         del both
         self.pair_at = np.split(at, ends)
         self.n = np.bincount(at, n, len(self.both)).astype(np.int64)
@@ -215,8 +215,8 @@ CONTEXT, CLASS, SPLIT, BINS, SUMS, BLOB = range(6)
 FOLDERS = 4
 
 
-def _rows(what: int, n: int, **columns) -> pa.RecordBatch:
-    """n rows, columns not named null."""
+def _rows(what: int | np.ndarray, n: int, **columns) -> pa.RecordBatch:
+    """n rows of one kind (or a kind each), columns not named null."""
     cols = {"what": np.full(n, what, np.int32)} | columns
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in _KINDS], schema=_KINDS)
 
@@ -463,7 +463,7 @@ def fit(dealt: DataFrame, layout: Layout, burn: int = 2, keep: int = 3, strength
         pairs = Pairs(texts, ~out, layout)
         parts = list(pairs.parts())
         contexts = np.unique(pairs.context)
-        rows = [_rows(BLOB, len(parts), what=BLOB + np.array([b % FOLDERS for b, _ in parts], np.int32), bucket=[b for b, _ in parts], shard=np.full(len(parts), shard), blob=[pairs.packed(p) for _, p in parts]), _rows(CONTEXT, len(contexts), shard=np.full(len(contexts), shard), key=contexts)]
+        rows = [_rows(BLOB + np.array([b % FOLDERS for b, _ in parts]), len(parts), bucket=[b for b, _ in parts], shard=np.full(len(parts), shard), blob=[pairs.packed(p) for _, p in parts]), _rows(CONTEXT, len(contexts), shard=np.full(len(contexts), shard), key=contexts)]
         give_back()
         return pa.Table.from_batches(rows, _KINDS)
 
