@@ -16,7 +16,7 @@ The model lives in *buckets* of words and is never whole anywhere:
    discounts are drawn from their conditionals on a grid.
 5. Buckets repeat the first sweeps (they are seeded, so nothing was stored), go on for
    ``keep`` sweeps and average the probabilities, and answer each shard's pairs.
-6. Shards get their contexts' back-off weights by a join, look up all tokens and add up.
+6. Shards ask their contexts' buckets for back-off weights, look up all tokens and add up.
 
 Within a round of sweeps a bucket sees other buckets' totals as they were when last shared
 (its own changes count at once), the usual parallel approximation of Gibbs sampling. Words
@@ -158,6 +158,14 @@ class Pairs:
         for a, b in zip(begin.tolist(), np.append(begin[1:], len(self.bucket)).tolist(), strict=True):
             yield int(self.bucket[a]), slice(a, b)
 
+    def contexts_by(self, buckets: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """Distinct contexts by their own bucket (the remainder of their number), and where each bucket's stand."""
+        contexts = np.unique(self.context)
+        bucket = contexts % buckets
+        order = np.argsort(bucket, kind="stable")
+        begin = _runs(bucket[order])
+        return contexts[order], [(int(bucket[order[a]]), slice(a, b)) for a, b in zip(begin.tolist(), np.append(begin[1:], len(order)).tolist(), strict=True)]
+
     def packed(self, part: slice) -> bytes:
         """Three sizes, words, contexts of each word, contexts (5 bytes), counts (1 byte, then those of 255 or more)."""
         word, contexts, n = self.word[part], self.context[part], self.n[part]
@@ -309,7 +317,7 @@ def _merged(layout: Layout):
 
 @dataclass(frozen=True)
 class Model:
-    """Answers to all shards (:func:`fit`), contexts (key, c, tables), and what all words share."""
+    """Answers to all shards about their pairs and their contexts (shard, bucket, blob), and what all words share."""
 
     answers: DataFrame
     contexts: DataFrame
@@ -462,8 +470,8 @@ def fit(dealt: DataFrame, layout: Layout, burn: int = 2, keep: int = 3, strength
         shard = table["shard"][0].as_py()
         pairs = Pairs(texts, ~out, layout)
         parts = list(pairs.parts())
-        contexts = np.unique(pairs.context)
-        rows = [_rows(BLOB + np.array([b % FOLDERS for b, _ in parts]), len(parts), bucket=[b for b, _ in parts], shard=np.full(len(parts), shard), blob=[pairs.packed(p) for _, p in parts]), _rows(CONTEXT, len(contexts), shard=np.full(len(contexts), shard), key=contexts)]
+        contexts, place = pairs.contexts_by(layout.buckets)
+        rows = [_rows(BLOB + np.array([b % FOLDERS for b, _ in parts]), len(parts), bucket=[b for b, _ in parts], shard=np.full(len(parts), shard), blob=[pairs.packed(p) for _, p in parts]), _rows(CONTEXT, len(place), bucket=[b for b, _ in place], shard=np.full(len(place), shard), blob=[contexts[p].tobytes() for _, p in place])]
         give_back()
         return pa.Table.from_batches(rows, _KINDS)
 
@@ -514,8 +522,23 @@ def fit(dealt: DataFrame, layout: Layout, burn: int = 2, keep: int = 3, strength
         discard(asked, f"what={BLOB + folder}")
     answers = reduce(DataFrame.union, answers)
     known = after.join(excess(answers), "key", "left").select("key", F.col("c").cast("double").alias("a"), (F.col("t0") + F.coalesce("more", F.lit(0.0))).alias("b"))
-    here = asked.where(F.col("what") == CONTEXT).select("shard", "key").join(known, "key", "left")
-    return Model(answers.where(F.col("what") == BLOB).select("shard", "bucket", "blob"), here, second, train_tokens)
+    known = known.withColumn("bucket", F.pmod("key", F.lit(layout.buckets)).cast("int"))
+    here = by_bucket(asked.where(F.col("what") == CONTEXT)).groupBy("bucket").cogroup(by_bucket(known).groupBy("bucket")).applyInArrow(_weighed, _FOUND)
+    return Model(answers.where(F.col("what") == BLOB).select("shard", "bucket", "blob"), here.select("shard", "bucket", "blob"), second, train_tokens)
+
+
+def _weighed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Customers and tables of the contexts that each shard asks for, 0 where they have none."""
+    keys = right["key"].to_numpy()
+    order = np.argsort(keys)
+    held = np.stack([np.append(right[x].to_numpy()[order], 0.0) for x in "ab"]).astype("<f4")
+    keys, blobs = keys[order], []
+    for blob in left["blob"].to_pylist():
+        asked = np.frombuffer(blob, np.int64)
+        at = np.searchsorted(keys, asked)
+        at[at < len(keys)] = np.where(keys[at[at < len(keys)]] == asked[at < len(keys)], at[at < len(keys)], len(keys))
+        blobs.append(held[:, at].tobytes())
+    return pa.Table.from_batches([_rows(CONTEXT, len(blobs), bucket=left["bucket"].to_numpy(), shard=left["shard"].to_numpy(), blob=blobs)], _KINDS)
 
 
 def score(dealt: DataFrame, model: Model, layout: Layout, shards: int) -> DataFrame:
@@ -526,14 +549,13 @@ def score(dealt: DataFrame, model: Model, layout: Layout, shards: int) -> DataFr
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, out = _texts(left)
         pairs = Pairs(texts, ~out, layout)
-        blob = right["bucket"].is_valid().combine_chunks()
-        held = {b: x for b, x in zip(right["bucket"].filter(blob).to_pylist(), right["blob"].filter(blob).to_pylist(), strict=True)}
-        contexts = right.filter(right["key"].is_valid())
-        keys = contexts["key"].to_numpy()
-        order = np.argsort(keys)
-        c, t = (np.nan_to_num(contexts[x].to_numpy())[order] for x in "ab")
-        at = np.searchsorted(keys[order], pairs.context)
-        weight, behind = s + d2 * t[at], s + c[at]
+        held = dict(zip(right["bucket"].to_pylist(), right["blob"].to_pylist(), strict=True))
+        contexts, place = pairs.contexts_by(layout.buckets)
+        known = np.concatenate([np.frombuffer(held[-1 - b], "<f4").reshape(2, -1) for b, _ in place], axis=1).astype(float)
+        order = np.argsort(contexts)
+        at = order[np.searchsorted(contexts, pairs.context, sorter=order)]
+        c, t = known[0, at], known[1, at]
+        weight, behind = s + d2 * t, s + c
         p, count = np.zeros(len(pairs.word)), np.zeros(len(pairs.word), np.int64)
         for b, part in pairs.parts():
             raw = held[b]
@@ -552,9 +574,7 @@ def score(dealt: DataFrame, model: Model, layout: Layout, shards: int) -> DataFr
         give_back()
         return pa.Table.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in rows], schema=_OUT)
 
-    none = F.lit(None)
-    right = model.answers.select("shard", "bucket", none.cast("long").alias("key"), none.cast("double").alias("a"), none.cast("double").alias("b"), "blob")
-    right = right.union(model.contexts.select("shard", none.cast("int"), "key", "a", "b", none.cast("binary")))
+    right = model.answers.union(model.contexts.withColumn("bucket", -1 - F.col("bucket")))
     return dealt.groupBy("shard").cogroup(right.repartition(shards, "shard").groupBy("shard")).applyInArrow(kernel, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
