@@ -133,6 +133,17 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[order], rank[place]
 
 
+def _narrow(contexts: np.ndarray) -> bytes:
+    """Contexts in five bytes each."""
+    return contexts.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(np.int64).ravel()
+
+
 class Pairs:
     """A shard's distinct pairs of word and context by bucket, word and context, and which of them each token is."""
 
@@ -172,8 +183,8 @@ class Pairs:
         begin = _runs(word)
         many = n[n >= 255]
         sizes = np.array([len(begin), len(word), len(many)], np.int64)
-        held = (sizes, self.words[word[begin]], np.diff(np.append(begin, len(word))).astype(np.int32), contexts.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5], np.minimum(n, 255).astype(np.uint8), many)
-        return b"".join(x.tobytes() for x in held)
+        each = np.diff(np.append(begin, len(word))).astype(np.int32)
+        return b"".join([sizes.tobytes(), self.words[word[begin]].tobytes(), each.tobytes(), _narrow(contexts), np.minimum(n, 255).astype(np.uint8).tobytes(), many.tobytes()])
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,11 +193,10 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     at = 24
     keys = np.frombuffer(blob, np.int64, words, at)
     each = np.frombuffer(blob, np.int32, words, at := at + 8 * words)
-    raw = np.zeros((pairs, 8), np.uint8)
-    raw[:, :5] = np.frombuffer(blob, np.uint8, 5 * pairs, at := at + 4 * words).reshape(-1, 5)
+    contexts = _wide(blob[(at := at + 4 * words) : at + 5 * pairs])
     n = np.frombuffer(blob, np.uint8, pairs, at := at + 5 * pairs).astype(np.int64)
     n[n == 255] = np.frombuffer(blob[at + pairs :], np.int64, many)
-    return keys, each.astype(np.int64), raw.view(np.int64).ravel(), n
+    return keys, each.astype(np.int64), contexts, n
 
 
 class Bucket:
@@ -471,7 +481,7 @@ def fit(dealt: DataFrame, layout: Layout, burn: int = 2, keep: int = 3, strength
         pairs = Pairs(texts, ~out, layout)
         parts = list(pairs.parts())
         contexts, place = pairs.contexts_by(layout.buckets)
-        rows = [_rows(BLOB + np.array([b % FOLDERS for b, _ in parts]), len(parts), bucket=[b for b, _ in parts], shard=np.full(len(parts), shard), blob=[pairs.packed(p) for _, p in parts]), _rows(CONTEXT, len(place), bucket=[b for b, _ in place], shard=np.full(len(place), shard), blob=[contexts[p].tobytes() for _, p in place])]
+        rows = [_rows(BLOB + np.array([b % FOLDERS for b, _ in parts]), len(parts), bucket=[b for b, _ in parts], shard=np.full(len(parts), shard), blob=[pairs.packed(p) for _, p in parts]), _rows(CONTEXT, len(place), bucket=[b for b, _ in place], shard=np.full(len(place), shard), blob=[_narrow(contexts[p]) for _, p in place])]
         give_back()
         return pa.Table.from_batches(rows, _KINDS)
 
@@ -511,7 +521,8 @@ def fit(dealt: DataFrame, layout: Layout, burn: int = 2, keep: int = 3, strength
     restaurants = [(r["n"], r["t"] / r["n"]) for r in after.where("t1 > 0").groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.sum("t1").alias("t")).orderBy("size").collect()]
     second = _shared(first, burnt, restaurants, seed)
 
-    wanted = materialise(wanted.join(after.select("key", "t1"), "key"), "wanted")
+    before, wanted = wanted, materialise(wanted.join(after.select("key", "t1"), "key"), "wanted")
+    discard(before)
     kernel = _answered(first, second, counts, burn, keep, seed)
     answers = []
     for folder in range(FOLDERS):
@@ -524,7 +535,10 @@ def fit(dealt: DataFrame, layout: Layout, burn: int = 2, keep: int = 3, strength
     known = after.join(excess(answers), "key", "left").select("key", F.col("c").cast("double").alias("a"), (F.col("t0") + F.coalesce("more", F.lit(0.0))).alias("b"))
     known = known.withColumn("bucket", F.pmod("key", F.lit(layout.buckets)).cast("int"))
     here = by_bucket(asked.where(F.col("what") == CONTEXT)).groupBy("bucket").cogroup(by_bucket(known).groupBy("bucket")).applyInArrow(_weighed, _FOUND)
-    return Model(answers.where(F.col("what") == BLOB).select("shard", "bucket", "blob"), here.select("shard", "bucket", "blob"), second, train_tokens)
+    here = materialise(here.select("shard", "bucket", "blob"), "weights")
+    for table in (asked, wanted, after, burnt):
+        discard(table)
+    return Model(answers.where(F.col("what") == BLOB).select("shard", "bucket", "blob"), here, second, train_tokens)
 
 
 def _weighed(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -534,7 +548,7 @@ def _weighed(left: pa.Table, right: pa.Table) -> pa.Table:
     held = np.stack([np.append(right[x].to_numpy()[order], 0.0) for x in "ab"]).astype("<f4")
     keys, blobs = keys[order], []
     for blob in left["blob"].to_pylist():
-        asked = np.frombuffer(blob, np.int64)
+        asked = _wide(blob)
         at = np.searchsorted(keys, asked)
         at[at < len(keys)] = np.where(keys[at[at < len(keys)]] == asked[at < len(keys)], at[at < len(keys)], len(keys))
         blobs.append(held[:, at].tobytes())

@@ -1,7 +1,8 @@
 """The corpus pipeline's stages against brute force, each on its own input."""
 
 import pytest
-from tests.llm.fixtures import table
+from pyspark.sql import functions as F
+from tests.llm.fixtures import edge_docs, table
 from tests.llm.test_model_ops import base
 from tests.llm.test_text_ops import contamination, fingerprint, least_reachable, measures
 
@@ -32,7 +33,7 @@ def test_names_and_columns(stages, spark, sf):
 def test_quality_drops_what_fails(stages):
     before, after = map(rows, stages["quality"])
     fails = {d for d, r in before.items() if (m := measures(r.text))[0] < 50 or 100 * m[4] > 50 * m[0]}
-    assert set(after) == set(before) - fails  # too few labels here for a cutoff
+    assert set(after) == set(before) - fails  # too few labels here for a cutoff: see test_text_ops for those
     assert all(after[d] == before[d] for d in after)
 
 
@@ -43,6 +44,27 @@ def test_one_of_each_group_stays(stages):
     assert set(after) == {d for d, f in prints if reach[f] == d}
 
 
+def test_defined_cases_of_every_stage(spark, sf):
+    """Nulls, empty and long texts, repeated rows and names that operators use inside; and empty tables."""
+    names = ["__id", "__row", "own", "stays", "component_id", "fp", "__hits", "__cut", "base", "Spans", "ids", "shard"]
+    docs = edge_docs(spark).withColumns({n: F.lit(1) for n in names if n.lower() not in {c.lower() for c in edge_docs(spark).columns}})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        rows = out.collect()
+        if name == "bpe":
+            assert len(rows) == docs.count()
+            continue
+        assert out.columns == docs.columns
+        if name == "near_dedup":
+            ids = [r.doc_id for r in rows]
+            assert len(ids) == len(set(ids)) and 0 in ids  # one row of each group, also of rows that repeat an id
+            kept = [fingerprint(r.text) for r in rows]
+            assert len(kept) == len(set(kept))
+        if name in ("pii", "decontaminate"):
+            assert [r.text for r in rows if r.doc_id == 0] == [None]
+
+
 def test_no_benchmark_window_is_left(stages, spark, sf):
     before, after = map(rows, stages["decontaminate"])
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
