@@ -31,20 +31,16 @@ def frechet_expression(xs1: str, ys1: str, xs2: str, ys2: str) -> str:
 
 
 def frechet(a: np.ndarray, b: np.ndarray) -> float:
-    """Squared discrete Fréchet distance with two rows: the running minimum along a row is taken at once where the diagonal allows."""
-    row = None
-    for p in a:
-        d = ((b - p) ** 2).sum(1)
-        if row is None:
-            row = np.maximum.accumulate(d)
-            continue
-        reach = np.minimum(row, np.concatenate([[np.inf], row[:-1]]))
-        new, left = np.empty(len(b)), np.inf
-        for j in range(len(b)):
-            left = max(d[j], min(reach[j], left))
-            new[j] = left
-        row = new
-    return float(row[-1])
+    """Squared discrete Fréchet distance, one diagonal of the table at a time; three diagonals are held."""
+    n, m = len(a), len(b)
+    before = last = np.full(n + 1, np.inf)  # by point of a, one place on
+    for s in range(n + m - 1):
+        i = np.arange(max(0, s - m + 1), min(n - 1, s) + 1)
+        d = ((a[i] - b[s - i]) ** 2).sum(1)
+        new = np.full(n + 1, np.inf)
+        new[i + 1] = d if s == 0 else np.maximum(d, np.minimum(np.minimum(last[i + 1], last[i]), before[i]))
+        before, last = last, new
+    return float(last[n])
 
 
 def coverage_per_cost(covered: np.ndarray, cost: float) -> float:

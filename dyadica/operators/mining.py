@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadica.operators import pathlets
+from dyadica.operators.geometry import radius_join
 from dyadica.operators.reach import label_counts, labels
+from dyadica.sources.tables import unpack
 
 
 def threshold(frequency: float, trajectories: int, narrow: bool = False) -> int:
@@ -76,13 +78,17 @@ def frequent_intervals(mothers: DataFrame, sample: DataFrame, radius: float, fre
 
 def net_filter(mothers: DataFrame, net: DataFrame, radius: float) -> DataFrame:
     """Mothers with a pathlet (so a point) that matches some trajectory of the net."""
-    near = labels(mothers, net, radius).select(F.col("m").alias("tid")).distinct()
-    return mothers.join(near, "tid", "left_semi")
+    return mothers.join(_near(mothers, net, radius), "tid", "left_semi")
+
+
+def _near(mothers: DataFrame, net: DataFrame, radius: float) -> DataFrame:
+    """(tid): mothers with a point within the radius of one of the net."""
+    return radius_join(unpack(mothers), unpack(net), radius).select("tid").distinct()
 
 
 def net_report(mothers: DataFrame, net: DataFrame, radius: float) -> DataFrame:
     """(mother, pathlets, kept): canonical pathlets of each mother, and whether the net keeps it."""
-    near = labels(mothers, net, radius).select(F.col("m").alias("mother")).distinct().withColumn("kept", F.lit(True))
+    near = _near(mothers, net, radius).select(F.col("tid").alias("mother"), F.lit(True).alias("kept"))
     sizes = pathlets.canonical(mothers).groupBy("mother").agg(F.count("*").alias("pathlets"))
     return sizes.join(near, "mother", "left").select("mother", "pathlets", F.coalesce("kept", F.lit(False)).alias("kept"))
 

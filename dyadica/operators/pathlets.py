@@ -32,6 +32,11 @@ def minimal(nodes: DataFrame, min_length: int) -> DataFrame:
     return long.join(child, ["mother", "node"], "left_anti")
 
 
+def leaves(nodes: DataFrame) -> DataFrame:
+    """(mother, pos, node): the node of each single point."""
+    return nodes.where("len = 1").select("mother", F.col("l").alias("pos"), "node")
+
+
 def count_bound(trajectories: DataFrame, min_length: int) -> DataFrame:
     """(pathlets): upper bound on the number of pathlets, 2 * floor(n / min_length) a trajectory."""
     return trajectories.agg(F.coalesce(F.sum(F.expr(f"2 * (n div {min_length})")), F.lit(0)).alias("pathlets"))

@@ -3,7 +3,8 @@
 For a mother m and a trajectory t, cells (j, i) with squared distance at most r² are
 free. L(j, i) = min(j, L(j-1, i), L(j-1, i-1), L(j, i-1)) over free cells; [l, r] of m
 matches t if and only if min over i of L(r, i) is at most l. The kernel sweeps columns
-j over all trajectories of a block at once, touching only free cells; the term inside
+j over all trajectories of a block at once. The block's points are sorted by grid cell
+once; a column tests only those in the nine cells around its point, and the term inside
 a column is a running minimum along runs of free cells.
 
 The sample is broadcast in blocks whose points are counted beforehand. Beyond
@@ -40,14 +41,31 @@ class Block:
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
         self.starts = np.zeros(len(self.x), bool)
         self.starts[self.begin[sizes > 0]] = True
+        self._grid: tuple | None = None
+
+    def candidates(self, mx: np.ndarray, my: np.ndarray, r2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(points by cell, first, last): for each query point three runs of the points by cell, which hold all within the radius."""
+        side = float(np.sqrt(r2)) * (1 + 1e-9) or 1e-9
+        if self._grid is None or self._grid[0] != side:
+            cx, cy = np.floor(self.x / side), np.floor(self.y / side)
+            low, height = (cy.min(), cy.max() - cy.min() + 4) if len(cy) else (0.0, 4.0)
+            key = cx * height + (cy - low + 1)
+            order = np.argsort(key, kind="stable")
+            self._grid = side, low, height, order, key[order]
+        _, low, height, order, keys = self._grid
+        column = (np.floor(mx / side)[:, None] + np.arange(-1, 2)) * height
+        at = np.clip(np.floor(my / side) - low + 1, -1, height)[:, None]
+        return order, np.searchsorted(keys, column + np.maximum(at - 1, 0), "left"), np.searchsorted(keys, column + np.minimum(at + 1, height - 1), "right")
 
 
 def sweep(mx: np.ndarray, my: np.ndarray, block: Block, r2: float, first: int = 0, last: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(column, free rows, labels) for each column of the mother that has free cells; columns before ``first`` are left out."""
     before_rows, before = np.zeros(0, np.int64), np.zeros(0, np.int64)
     held = np.full(len(block.x) + 1, _FAR)
+    order, lo, hi = block.candidates(mx, my, r2)
     for j in range(first, len(mx) if last is None else last + 1):
-        rows = np.flatnonzero((block.x - mx[j]) ** 2 + (block.y - my[j]) ** 2 <= r2)
+        rows = np.concatenate([order[a:b] for a, b in zip(lo[j].tolist(), hi[j].tolist(), strict=True)])
+        rows = np.sort(rows[(block.x[rows] - mx[j]) ** 2 + (block.y[rows] - my[j]) ** 2 <= r2])
         held[before_rows + 1] = before
         label = np.minimum(j, held[rows + 1])
         label = np.minimum(label, np.where(block.starts[rows], _FAR, held[rows]))

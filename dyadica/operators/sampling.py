@@ -60,6 +60,11 @@ def rough_counts(data: DataFrame, source: DataFrame, radius: float, min_length:
     return out.withColumnRenamed("l", "c")
 
 
+def by_near_pathlets(data: DataFrame, source: DataFrame, radius: float, min_length: int = 1, **how) -> DataFrame:
+    """(tid, c, place): trajectories by how many pathlets begin near them, most first; one row a trajectory is ranked."""
+    return rough_counts(data, source, radius, min_length, **how).withColumn("place", F.rank().over(Window.orderBy(F.desc("c"))))
+
+
 def turbo_counts(data: DataFrame, source: DataFrame, radius: float, min_length: int = 1, side: float | None = None) -> DataFrame:
     """(tid, c): sums over touched cells of the pathlets that begin there, counted by cell beforehand."""
     side = side or 0.2 * radius
@@ -116,7 +121,7 @@ def draw(trajectories: DataFrame, size: int, seed: int = 0) -> DataFrame:
     held = trajectories.count()
     if size > held:
         raise ValueError(f"a sample of {size} from {held} trajectories")
-    return trajectories.orderBy(F.xxhash64(F.lit(seed), "tid"), "tid").limit(size)
+    return trajectories.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "tid")), "tid").limit(size)
 
 
 #: The numbered modes and what each counts; 5, 9, 11 and 13 are other names.

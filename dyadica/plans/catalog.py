@@ -78,6 +78,11 @@ def one_curve(spark, sf_dir):
     return tables.as_one_curve(events(spark, sf_dir))
 
 
+@_query(sql.query("SELECT * FROM pts WHERE tid BETWEEN 10 AND 19", _P))
+def trajectory_slice(spark, sf_dir):
+    return tables.between(events(spark, sf_dir), 10, 19)
+
+
 # ---- joins by distance
 
 
@@ -138,6 +143,17 @@ def pathlet_bound(spark, sf_dir):
     return pathlets.count_bound(tables.pack(events(spark, sf_dir)), MIN_LENGTH)
 
 
+@_query(sql.query("SELECT mother, l AS pos, node FROM nodes WHERE len = 1", _P, _T))
+def pathlet_leaves(spark, sf_dir):
+    return pathlets.leaves(pathlets.canonical(tables.pack(events(spark, sf_dir))))
+
+
+@_query(sql.query("SELECT mother, node, (f.first_index + l)::BIGINT AS first, (f.first_index + r)::BIGINT AS last FROM nodes JOIN (SELECT tid, sum(n) OVER (ORDER BY tid) - n AS first_index FROM pts_n) AS f ON f.tid = mother", _P, _T))
+def global_pathlets(spark, sf_dir):
+    p = events(spark, sf_dir)
+    return pathlets.to_global(pathlets.canonical(tables.pack(p)), tables.statistics(p)).select("mother", "node", "first", "last")
+
+
 # ---- reachability and mining
 
 
@@ -277,6 +293,12 @@ def rough_least_counts(spark, sf_dir):
     return sampling.rough_counts(p, p, RADIUS, MIN_LENGTH, least=True)
 
 
+@_query(sql.query("SELECT tid, count(*)::BIGINT AS c, rank() OVER (ORDER BY count(*) DESC)::INT AS place FROM nb GROUP BY tid", _P, _T, _E, _NEAR[0]))
+def trajectories_by_near_pathlets(spark, sf_dir):
+    p = events(spark, sf_dir)
+    return sampling.by_near_pathlets(p, p, RADIUS, MIN_LENGTH)
+
+
 _SIDE = GRID * RADIUS
 _CELLS = sql.touched(RADIUS, _SIDE)
 
@@ -304,7 +326,7 @@ def sample_sizes(spark, sf_dir):
     return spark.createDataFrame([(m, sampling.sample_size(m, p, p, SUPPLIER_RADIUS, eps=EPS, delta=DELTA, min_length=2, grid=GRID)) for m in sampling.MODES], "mode long, size long")
 
 
-@_query()
+@_query(sql.query("SELECT tid, pos, x, y FROM pts WHERE tid IN (SELECT tid FROM pts_n ORDER BY md5('7:' || tid), tid LIMIT 10)", _P))
 def drawn_sample(spark, sf_dir):
     """A fixed-size sample of curves, as points."""
     return tables.unpack(sampling.draw(_packed(spark, sf_dir), 10, seed=7))
@@ -425,12 +447,12 @@ def cluster_longest(spark, sf_dir):
     return clustering.bbgll(t, SUPPLIER_RADIUS**2, 3)
 
 
-# clusters whose members overlap by design: nodes of two levels of each curve's tree
-_CLUSTERS = "cl AS (SELECT mother AS cid, mother AS tid, l, r FROM nodes WHERE level IN (1, 2) AND node % 3 != 0)"
+# clusters by design: a half of each curve, a quarter inside it and one outside, so that some points are covered twice and some never
+_CLUSTERS = "cl AS (SELECT mother AS cid, mother AS tid, l, r FROM nodes WHERE node IN (1, 3, 5))"
 
 
 def _levels(spark, sf_dir):
-    nodes = pathlets.canonical(_packed(spark, sf_dir)).where("level IN (1, 2) AND node % 3 != 0")
+    nodes = pathlets.canonical(_packed(spark, sf_dir)).where("node IN (1, 3, 5)")
     return nodes.select(F.col("mother").alias("cid"), F.col("mother").alias("tid"), "l", "r")
 
 

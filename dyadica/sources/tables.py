@@ -65,6 +65,11 @@ def statistics(points: DataFrame) -> DataFrame:
     return by_range.join(bands.select("band", before.alias("before")), "band").select("tid", "n", (F.col("before") + inside).alias("first_index"))
 
 
+def between(points: DataFrame, first: int, last: int) -> DataFrame:
+    """Points of the trajectories with ids from first to last."""
+    return points.where(F.col("tid").between(first, last))
+
+
 def chunks(points: DataFrame, size: int) -> DataFrame:
     """Points with ``chunk``: trajectories by id, ``size`` to a chunk."""
     ids = points.select("tid").distinct().select("tid", F.floor((F.row_number().over(Window.orderBy("tid")) - 1) / size).alias("chunk"))
