@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.fixtures import edge_docs
 
 from dyadica.llm import pii
@@ -157,7 +158,7 @@ def test_marginals_decide_and_not_the_keys(spark):
 
 
 def test_defined_cases(spark):
-    docs = edge_docs(spark).withColumn("base", edge_docs(spark)["key"])
+    docs = edge_docs(spark).withColumn("base", F.col("key"))
     assert pii.find_spans(docs).columns == [c for c in docs.columns if c not in ("base", "spans")] + ["base", "spans"]
     assert pii.find_spans(docs).count() == docs.count() == pii.redact(docs).count()
     assert pii.redact(docs).columns == docs.columns
