@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Fewer keys than this each hold more than this part of all rows; such hot keys are broadcast.
 HOT, SALTS = 1000, 64
+#: Rows that a join may broadcast: the driver builds their table in its heap, so its limit is on rows, not on the bytes of compressed files that Spark goes by.
+MOST_BROADCAST = 200_000
 #: Text bytes that a Python kernel handles at a time; bounds its memory whatever the batch holds.
 CHUNK_BYTES = 4 << 20
 
@@ -99,14 +101,17 @@ def join_hot(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how:
 
     Keys with more than 1/HOT of all those rows, fewer than HOT, are broadcast to mark
     their rows, which get one of SALTS salts by their other columns; the table's rows of
-    such keys are repeated for each salt. So no task gets all rows of one key.
+    such keys are repeated for each salt. So no task gets all rows of one key. A table of
+    over MOST_BROADCAST rows is not broadcast, however small its files.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
+    total, keys = table.agg(F.coalesce(F.sum(weight), F.lit(0)), F.count("*")).first()
     hot = F.col(weight) * HOT > total
     marked = rows.join(F.broadcast(table.where(hot).select(*on, F.lit(True).alias("__hot"))), on, "left")
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on] or on), F.lit(SALTS))).otherwise(0).cast("int")
     salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = table.withColumn("__salt", F.explode(salts))
+    if keys > MOST_BROADCAST:
+        right = right.hint("merge")
     return marked.withColumn("__salt", salt).drop("__hot").join(right, [*on, "__salt"], how).drop("__salt")
 
 
@@ -197,4 +202,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return loops.join(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    roots = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    return loops.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

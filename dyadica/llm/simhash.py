@@ -2,11 +2,14 @@ r"""SimHash near-duplicates by deletion-variant signatures.
 
 A text's fingerprint is the bitwise majority of the XXH64 values of its 4-word
 shingles. Fingerprints at 4 or fewer differing bits are linked. A fingerprint is
-cut into three segments (22, 21 and 21 bits): of at most four differing bits, some
-segment holds at most one. So each segment is indexed once for each of its
-positions with that bit deleted (64 variants in all); fingerprints linked agree in
-one variant at least. Variants meet in an equality join and pairs are verified. Buckets'
-least fingerprints are minima combined before the shuffle; hot keys are salted.
+cut into three segments (22, 21 and 21 bits). Of at most four differing bits, either
+some segment holds none, and then one of five blocks of the other two holds none; or
+two segments hold one each, and then half of the second holds none. So a fingerprint
+has 145 variants: a segment with a block of the others, and a segment with one of its
+bits deleted and half of another one. Each keeps 29 to 32 bits, so that few fingerprints
+share a variant by chance; fingerprints linked agree in one at least. Variants meet in an
+equality join and pairs are verified. Buckets' least fingerprints are minima combined
+before the shuffle; hot keys are salted.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero,
 linked like any other; a text of one to three words is one shingle; repeated rows
@@ -32,6 +35,23 @@ SEED, SHINGLE, DISTANCE = 42, 4, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 
+def _masks() -> list[int]:
+    """The bits that each variant keeps; of any four bits or fewer, some variant keeps none."""
+    bits = [range(at, at + width) for at, width in SEGMENTS]
+    mask = lambda kept: sum(1 << b for b in kept)
+    out = []
+    for own in bits:
+        rest = [b for other in bits if other is not own for b in other]
+        out += [mask(own) | mask(rest[i * len(rest) // 5 : (i + 1) * len(rest) // 5]) for i in range(5)]
+    for x, y in ((0, 1), (0, 2), (1, 2)):
+        half = len(bits[y]) // 2
+        out += [(mask(bits[x]) | mask(part)) & ~(1 << gone) for gone in bits[x] for part in (bits[y][:half], bits[y][half:])]
+    return out
+
+
+MASKS = _masks()
+
+
 def fingerprints_of(texts: list[bytes]) -> np.ndarray:
     """Unsigned fingerprints of UTF-8 texts."""
     words, offsets = word_lists(texts, lower=True)
@@ -76,38 +96,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs ``(a, b)`` of distinct fingerprints ``fp`` that connect what is linked at ``distance`` (4 at most) or fewer bits.
 
-    A verified pair is emitted in one bucket only, the first that it shares. In a
-    bucket, fingerprints within the distance of its smallest one meet that one alone:
+    In a bucket, fingerprints within the distance of its smallest one meet that one alone:
     of two such, both are linked to the smallest, whose own pairs are smaller, so that
     by induction the components stay the same while a dense ball of near copies costs
     one comparison each. Only fingerprints far from the smallest meet all others.
     """
     if not 0 <= distance <= 4:
-        raise ValueError("three segments hold one differing bit each at a distance of 4 at most")
-    bit = F.col("bit")
-    low = F.when(bit < 22, 0).when(bit < 43, 22).otherwise(43)
-    mask = F.when(bit < 22, F.lit((1 << 22) - 1)).otherwise(F.lit((1 << 21) - 1))
-    variants = prints.select("fp").withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    held = F.call_function("shiftrightunsigned", F.col("fp"), low).bitwiseAND(mask.cast("long"))
-    deleted = F.call_function("shiftleft", F.lit(1).cast("long"), (bit - low).cast("int"))
-    variants = variants.select("fp", (F.col("bit").cast("long") * F.lit(1 << 22) + held.bitwiseAND(F.bitwise_not(deleted))).alias("key"))
+        raise ValueError("the variants hold for a distance of 4 at most")
+    masks = ", ".join(f"{m - (1 << 64) if m >> 63 else m}L" for m in MASKS)
+    spread = prints.select("fp").repartition(prints.sparkSession.sparkContext.defaultParallelism * 4, "fp")
+    variants = spread.withColumn("key", F.explode(F.expr(f"transform(array({masks}), (m, i) -> xxhash64(i, fp & m))")))
     buckets = materialise(variants.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = materialise(join_hot(variants, buckets, ["key"], "n").select("fp", "key", "hub", "n"), "variants")
-    masks = [((1 << w) - 1) << lo for lo, w in SEGMENTS]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    differ = lambda i: f"bit_count((a ^ b) & {masks[i]}L)"
-    at = "cast(key div 4194304 as int)"
-    first_bit = "CASE WHEN {n} = 0 THEN {at} = {lo} ELSE shiftrightunsigned(a ^ b, {at}) & 1 = 1 END"
-    rule = (
-        f"CASE WHEN {differ(0)} <= 1 THEN {at} < 22 AND ({first_bit.format(n=differ(0), at=at, lo=0)}) "
-        f"WHEN {differ(1)} <= 1 THEN {at} BETWEEN 22 AND 42 AND ({first_bit.format(n=differ(1), at=at, lo=22)}) "
-        f"ELSE {at} >= 43 AND ({first_bit.format(n=differ(2), at=at, lo=43)}) END"
-    )
+    shared = materialise(join_hot(variants, buckets, ["key"], "n").select("fp", "key", "hub"), "variants")
     shared = shared.withColumn("far", F.expr(f"bit_count(fp ^ hub) > {distance}"))
-    spokes = shared.where("NOT far AND fp != hub").select("key", F.col("hub").alias("a"), F.col("fp").alias("b")).where(rule)
+    spokes = shared.where("NOT far AND fp != hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     far, each = shared.where("far").select("key", F.col("fp").alias("a")), shared.select("key", F.col("fp").alias("b"), F.col("far").alias("both"))
-    pairs = far.join(each, "key").where(f"(a < b OR NOT both) AND bit_count(a ^ b) <= {distance} AND {rule}")
-    return spokes.select("a", "b").union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = far.join(each.hint("merge"), "key").where(f"(a < b OR NOT both) AND bit_count(a ^ b) <= {distance}")
+    return spokes.union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -115,10 +120,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialise(fingerprints(docs, id_col, text_col), "prints")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(prints, distance))
-    linked = materialise(prints.join(roots, prints.fp == roots.node).select("fp", "least", "root"), "linked")
+    linked = materialise(prints.join(roots.hint("merge"), prints.fp == roots.node).select("fp", "least", "root"), "linked")
     label = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "labels")
     far = join_hot(linked, label, ["root"], "members").select("fp", "component_id")
-    ids = materialise(prints.join(far, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "ids")
+    ids = materialise(prints.join(far.hint("merge"), "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "ids")
     return join_hot(rows, ids, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 

@@ -78,6 +78,36 @@ def test_simhash_links_keep_components_in_dense_balls(spark):
     assert len(got) == sum(n for n in linked.values() if n > 1)
 
 
+def test_simhash_variants_are_wide_and_miss_no_link():
+    import itertools
+    import random
+
+    assert all(29 <= m.bit_count() <= 32 for m in simhash.MASKS) and len(set(simhash.MASKS)) == 145
+    rnd = random.Random(5)
+    patterns = [sum(1 << b for b in rnd.sample(range(64), 4)) for _ in range(50_000)]
+    ends = sorted({b for at, width in simhash.SEGMENTS for b in (at, at + width // 2, at + width - 1)})
+    patterns += [sum(1 << b for b in four) for four in itertools.combinations(ends, 4)]
+    assert all(any(not m & p for m in simhash.MASKS) for p in patterns)
+
+
+def test_simhash_buckets_are_not_shared_by_chance(spark, monkeypatch):
+    import random
+
+    rnd, sizes = random.Random(9), {}
+    keep = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, label: sizes.setdefault(label, keep(df, label)))
+    simhash.links(spark.createDataFrame([(rnd.getrandbits(64) - (1 << 63),) for _ in range(5000)], "fp long"))
+    assert sizes["variants"].count() <= 20
+
+
+def test_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    rows, table = spark.range(200).selectExpr("id % 50 AS k", "id"), common.materialise(spark.range(50).selectExpr("id AS k", "4L AS n"), "few")
+    monkeypatch.setattr(common, "MOST_BROADCAST", 49)
+    joined = common.join_hot(rows, table, ["k"], "n")
+    assert joined.count() == 200
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def removed(rows, window=20):
     """Per row: number removed and what is left, over rows (doc_id, text) sorted by id."""
     seen, out = {}, []
