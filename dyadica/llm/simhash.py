@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import chunked, components, fresh, join_hot, materialise, word_lists
+from dyadica.llm.common import MOST_BROADCAST, chunked, components, fresh, join_hot, materialise, word_lists
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 #: First bit and width of each segment.
@@ -127,8 +127,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_hot(rows, ids, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
-#: Ids that are broadcast to leave out rows (at about 50 bytes each in a task); more meet in a shuffle.
-MOST_IDS = 1_000_000
+#: Ids that are broadcast to leave out rows (the driver builds their table); more meet in a shuffle.
+MOST_IDS = MOST_BROADCAST
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -145,7 +145,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     goes, several = verdict.where("NOT stays").select("doc_id"), verdict.where("stays").select("doc_id")
     kind, out = (fresh(docs, n) for n in ("__id", "__row"))
     small = verdict.count() <= MOST_IDS
-    met = lambda ids: (F.broadcast(ids) if small else ids).withColumnRenamed("doc_id", kind)
+    met = lambda ids: (F.broadcast(ids) if small else ids.hint("merge")).withColumnRenamed("doc_id", kind)
     same = docs[f"`{id_col}`"].eqNullSafe(F.col(kind))
     left = docs.join(met(goes), same, "left_anti")
     if several.isEmpty():

@@ -108,6 +108,16 @@ def test_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ids_that_go_are_not_broadcast_beyond_the_bound(spark, monkeypatch):
+    assert simhash.MOST_IDS <= common.MOST_BROADCAST
+    docs = spark.createDataFrame([(i, f"one two three four five {i // 3}") for i in range(12)], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "MOST_IDS", 1)
+    kept = simhash.keep_one(docs)
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    want = least_reachable([(r.doc_id, fingerprint(r.text)) for r in docs.collect()])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 def removed(rows, window=20):
     """Per row: number removed and what is left, over rows (doc_id, text) sorted by id."""
     seen, out = {}, []
