@@ -13,12 +13,22 @@ def cell(c: str, side: float):
     return F.floor(F.col(c) / F.lit(float(side))).cast("long")
 
 
+#: Rows that a join may broadcast. Spark's own estimate of rows that were exploded is the size of the file they come from.
+MOST_BROADCAST = 200_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The rows, kept and broadcast where they are few, else merged in joins."""
+    df = df.persist()
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df.hint("merge")
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius: float, side: float | None = None) -> DataFrame:
     """Pairs (tid, pos, x, y, tid2, pos2, x2, y2) at squared distance radius² at most.
 
     Points meet in cells: the left ones stand in their own, the right ones in each
     cell within reach (nine for cells as wide as the radius). The equi-join may be
-    split where a cell is crowded; the exact test is in the join.
+    split where a cell is crowded, and broadcasts neither side; the exact test is in the join.
     """
     side = side or radius
     reach = -(-radius // side)
@@ -26,7 +36,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, side: float |
     a = left.select("tid", "pos", "x", "y", cell("x", side).alias("cx"), cell("y", side).alias("cy"))
     b = right.select(F.col("tid").alias("tid2"), F.col("pos").alias("pos2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     b = b.withColumn("cx", F.explode(near("x2"))).withColumn("cy", F.explode(near("y2")))
-    return a.join(b, ["cx", "cy"]).where(squared_distance("x", "y", "x2", "y2") <= radius * radius).drop("cx", "cy")
+    return a.join(b.hint("merge"), ["cx", "cy"]).where(squared_distance("x", "y", "x2", "y2") <= radius * radius).drop("cx", "cy")
 
 
 def cell_counts(points: DataFrame, side: float) -> DataFrame:
@@ -58,11 +68,11 @@ def nearest_and_farthest(points: DataFrame) -> DataFrame:
     left, found = points, None
     while True:
         pairs = radius_join(left, points, side).where("tid != tid2 OR pos != pos2")
-        hit = pairs.groupBy("tid", "pos").agg(F.min(squared_distance("x", "y", "x2", "y2")).alias("nearest"))
+        hit = pairs.groupBy("tid", "pos").agg(F.min(squared_distance("x", "y", "x2", "y2")).alias("nearest")).persist()
         found = hit if found is None else found.union(hit)
         if side > 2 * width:
             break
-        rest = left.join(hit, ["tid", "pos"], "left_anti")
+        rest = left.join(hit.select("tid", "pos").hint("merge"), ["tid", "pos"], "left_anti")
         if rest.isEmpty():
             break
         left, side = rest, side * 4
@@ -72,7 +82,7 @@ def nearest_and_farthest(points: DataFrame) -> DataFrame:
         block = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in hull[a : a + 256]])
         far = F.greatest(far, F.aggregate(block, F.lit(0.0), lambda m, h: F.greatest(m, (F.col("x") - h.x) * (F.col("x") - h.x) + (F.col("y") - h.y) * (F.col("y") - h.y))))
     reach = points.select("tid", "pos", far.alias("farthest"))
-    return reach.join(found, ["tid", "pos"], "left").select("tid", "pos", "nearest", "farthest")
+    return reach.join(found.hint("merge"), ["tid", "pos"], "left").select("tid", "pos", "nearest", "farthest")
 
 
 def hull_vertices(points: DataFrame) -> list[tuple[float, float]]:
