@@ -28,7 +28,7 @@ def all_intervals(trajectories: DataFrame) -> DataFrame:
 def minimal(nodes: DataFrame, min_length: int) -> DataFrame:
     """Nodes of min_length or more that hold no other such node: neither child is long enough."""
     long = nodes.where(F.col("len") >= min_length)
-    child = long.select("mother", F.expr("(node - 1) div 2").alias("node")).where("node >= 0").distinct()
+    child = long.where("node > 0").select("mother", F.expr("(node - 1) div 2").alias("node")).distinct()
     return long.join(child, ["mother", "node"], "left_anti")
 
 

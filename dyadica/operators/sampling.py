@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadica.functions.numeric import binomial
-from dyadica.operators import pathlets
+from dyadica.operators import counting, pathlets
 from dyadica.operators.geometry import cell, radius_join, touched_cells
 from dyadica.sources.tables import pack
 
@@ -22,17 +22,17 @@ from dyadica.sources.tables import pack
 def ends(points: DataFrame, min_length: int, which: str) -> DataFrame:
     """(tid, pos, x, y) with node: the first ("l") or last ("r") point of each canonical pathlet of min_length or more; tid is the mother."""
     nodes = pathlets.canonical(pack(points)).where(F.col("len") >= min_length)
-    return nodes.select(F.col("mother").alias("tid"), F.col(which).cast("int").alias("pos"), "node").join(points, ["tid", "pos"])
+    return nodes.select(F.col("mother").alias("tid"), F.col(which).cast("int").alias("pos"), "node").join(points.hint("merge"), ["tid", "pos"])
 
 
 def near(points: DataFrame, marks: DataFrame, radius: float, side: float | None = None, exact: bool = True) -> DataFrame:
     """(tid, pos, mother, node) for each point and mark near it: within the radius, or (not exact) in a cell that the ball touches."""
     if exact:
         pairs = radius_join(points, marks.select("tid", "pos", "x", "y").distinct(), radius, max(side or radius, radius / 8))
-        return pairs.select("tid", "pos", "tid2", "pos2").join(marks.select(F.col("tid").alias("tid2"), F.col("pos").alias("pos2"), "node"), ["tid2", "pos2"]).select("tid", "pos", F.col("tid2").alias("mother"), "node")
+        return pairs.select("tid", "pos", "tid2", "pos2").join(marks.select(F.col("tid").alias("tid2"), F.col("pos").alias("pos2"), "node").hint("merge"), ["tid2", "pos2"]).select("tid", "pos", F.col("tid2").alias("mother"), "node")
     cells = touched_cells(points, radius, side or 0.2 * radius).select("tid", "pos", "cx", "cy")
     held = marks.select(F.col("tid").alias("mother"), "node", cell("x", side or 0.2 * radius).alias("cx"), cell("y", side or 0.2 * radius).alias("cy"))
-    return cells.join(held, ["cx", "cy"]).select("tid", "pos", "mother", "node")
+    return cells.join(held.hint("merge"), ["cx", "cy"]).select("tid", "pos", "mother", "node")
 
 
 def surviving(data: DataFrame, source: DataFrame, radius: float, min_length: int = 1, side: float | None = None, exact: bool = True) -> DataFrame:
@@ -48,12 +48,17 @@ def surviving(data: DataFrame, source: DataFrame, radius: float, min_length: int
 
 def vc_counts(data: DataFrame, source: DataFrame, radius: float, min_length: int = 1, **how) -> DataFrame:
     """(tid, c): surviving pathlets a trajectory."""
+    if not how.get("exact", True):
+        return counting.surviving_by_cells(data, source, radius, min_length, how.get("side") or 0.2 * radius)
     return surviving(data, source, radius, min_length, **how).groupBy("tid").agg(F.count("*").alias("c"))
 
 
 def rough_counts(data: DataFrame, source: DataFrame, radius: float, min_length: int = 1, least: bool = False, **how) -> DataFrame:
     """(tid, c): near pairs of a point and a pathlet's begin; least: or end, if those are fewer (from min_length 3 on)."""
-    count = lambda w: near(data, ends(source, min_length, w), radius, **how).groupBy("tid").agg(F.count("*").alias(w))
+    if how.get("exact", True):
+        count = lambda w: counting.near_marks(data, ends(source, min_length, w), radius).withColumnRenamed("c", w)
+    else:
+        count = lambda w: near(data, ends(source, min_length, w), radius, **how).groupBy("tid").agg(F.count("*").alias(w))
     out = count("l")
     if least and min_length >= 3:
         return out.join(count("r"), "tid").select("tid", F.least("l", "r").alias("c"))

@@ -189,3 +189,28 @@ def test_matrix_has_its_sums_and_law():
     rng = np.random.default_rng(0)
     big = [shard._draw(rng, 600_000_000, 900_000_000, 50_000) for _ in range(300)]
     assert abs(np.mean(big) - 20_000) < 30 and 85 < np.std(big) < 135
+
+
+def test_lexicon_moves_no_texts(spark, monkeypatch):
+    from dyadica.llm import quality
+
+    rows = [(i, "foul " * (i % 2) + f"plain words {i}", "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    plans, write = [], quality.materialise
+
+    def kept(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(quality, "materialise", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many labels
+    try:
+        assert quality.lexicon(docs, labels) == ["foul"]
+        assert all("SortMergeJoin" not in plan for label, plan in plans if label == "words")
+        monkeypatch.setattr(quality, "MOST_BROADCAST", 70)
+        assert quality.lexicon(docs, labels) == ["foul"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(label == "words" for label, _ in plans) > 2

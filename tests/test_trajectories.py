@@ -296,3 +296,60 @@ def test_result_files(spark, tiny, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "c")).collect()] == ["x.txt", "means", "1.5", "1 0 1", "1 0 1 2 2 3"]
     tables.write_clusters(rows, str(tmp_path / "v"), spaced=False, first_index=tables.statistics(tables.unpack(tiny)))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "v")).collect()) == [".,.,.,.,0,10,11", ".,.,.,.,0,4,5"]
+
+
+def cross(seed, curves, longest):
+    return {t: [(x * 3.7, y) for x, y in ps] for t, ps in walk(seed, curves, longest).items()}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_whole_curve_may_be_minimal(spark):
+    nodes = pathlets.canonical(tables.pack(frame(spark, {1: [(0, 0)], 2: [(0, 0), (1, 0), (2, 0)]})))
+    assert sorted((r.mother, r.node) for r in pathlets.minimal(nodes.where("len >= 2"), 2).collect()) == [(2, 2)]
+    assert [(r.mother, r.node) for r in pathlets.minimal(nodes.where("mother = 1"), 1).collect()] == [(1, 0)]
+
+
+@pytest.mark.parametrize("min_length", [1, 2, 5])
+def test_survivors_by_cells_are_those_of_the_listed_pairs(spark, monkeypatch, min_length):
+    from dyadica.operators import counting
+
+    p = frame(spark, cross(8, 150, 23))
+    listed = sampling.surviving(p, p, 6.0, min_length, side=3.0, exact=False).groupBy("tid").count()
+    want = {r["tid"]: r["count"] for r in listed.collect()}
+    got = sampling.vc_counts(p, p, 6.0, min_length, side=3.0, exact=False)
+    assert {r.tid: r.c for r in got.collect()} == want
+    monkeypatch.setattr(counting, "BLOCK_MARKS", 40)
+    monkeypatch.setattr(counting, "STEP_POINTS", 70)
+    assert {r.tid: r.c for r in sampling.vc_counts(p, p, 6.0, min_length, side=3.0, exact=False).collect()} == want
+
+
+@pytest.mark.parametrize("radius", [1.0, 5.0, 0.35])
+def test_near_marks_are_those_of_brute_force(spark, monkeypatch, radius):
+    from dyadica.operators import counting
+
+    rnd = random.Random(4)
+    points = [(t, i, round(rnd.uniform(-9, 9), 1), rnd.choice([rnd.randint(-4, 4), rnd.uniform(-4, 4)])) for t in range(20) for i in range(15)]
+    p = spark.createDataFrame([(t, i, float(x), float(y)) for t, i, x, y in points], tables.POINTS)
+    marks = [(float(x), float(y)) for _, _, x, y in points[::3]] + [(0.0, 0.0)] * 3 + [(points[0][2] + radius, float(points[0][3]))]
+    want = {}
+    for t, _, x, y in points:
+        want[t] = want.get(t, 0) + sum((x - a) * (x - a) + (y - b) * (y - b) <= radius * radius for a, b in marks)
+    want = {t: c for t, c in want.items() if c}
+    m = spark.createDataFrame(marks, "x double, y double")
+    assert {r.tid: r.c for r in counting.near_marks(p, m, radius).collect()} == want
+    for name, small in (("BLOCK_MARKS", 20), ("STEP_POINTS", 7), ("STEP_PAIRS", 3)):
+        monkeypatch.setattr(counting, name, small)
+    assert {r.tid: r.c for r in counting.near_marks(p, m, radius).collect()} == want
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    p = frame(spark, cross(8, 12, 23))
+    assert "BroadcastHashJoin" not in plan_of(geometry.radius_join(p, p, 2.0))
+    assert "BroadcastHashJoin" not in plan_of(geometry.nearest_and_farthest(p))
+    want = sorted(map(tuple, sampling.turbo_counts(p, p, 6.0, 2, 3.0).collect()))
+    monkeypatch.setattr(geometry, "MOST_BROADCAST", 0)
+    got = sampling.turbo_counts(p, p, 6.0, 2, 3.0)
+    assert "BroadcastHashJoin" not in plan_of(got) and sorted(map(tuple, got.collect())) == want
