@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from dyadica.functions.numeric import binomial
 from dyadica.operators import counting, pathlets
-from dyadica.operators.geometry import cell, radius_join, touched_cells
+from dyadica.operators.geometry import bounded, cell, radius_join, touched_cells
 from dyadica.sources.tables import pack
 
 
@@ -74,7 +74,7 @@ def turbo_counts(data: DataFrame, source: DataFrame, radius: float, min_length:
     """(tid, c): sums over touched cells of the pathlets that begin there, counted by cell beforehand."""
     side = side or 0.2 * radius
     held = ends(source, min_length, "l").groupBy(cell("x", side).alias("cx"), cell("y", side).alias("cy")).agg(F.count("*").alias("n"))
-    return touched_cells(data, radius, side).join(held, ["cx", "cy"]).groupBy("tid").agg(F.sum("n").alias("c"))
+    return touched_cells(data, radius, side).join(bounded(held), ["cx", "cy"]).groupBy("tid").agg(F.sum("n").alias("c"))
 
 
 def h_index(counts: DataFrame, c: str = "c") -> DataFrame:
