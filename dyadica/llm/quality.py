@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import fresh, materialise
+from dyadica.llm.common import MOST_BROADCAST, fresh, materialise
 
 #: Rule, its ratio over the features, and its cutoffs from strict to lax. A document above the cutoff is rejected.
 RULES = (
@@ -128,10 +128,18 @@ def lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     toxic with the choosing quarter of those that are not, so that the testing ones have no part in it.
     """
     kinds = labels.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(F.expr("coalesce(quality = 1, false)")).alias("fine"), F.max(F.expr("coalesce(toxic = 1, false)")).alias("toxic"), F.min(F.expr("coalesce(toxic = 0, false)")).alias("good"))
-    kinds = kinds.where(f"fine AND (toxic OR good AND {CHOOSES})").select("doc_id", "toxic")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(kinds, "doc_id")
-    # the empty word is in every document and counts them
-    words = materialise(own.select("stratum", "toxic", F.explode(F.expr(f"array_union(array(''), array_distinct({_letters('text')}))")).alias("word")).groupBy("stratum", "word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("g")), "words")
+    kinds = materialise(kinds.where(f"fine AND (toxic OR good AND {CHOOSES})").select("doc_id", "toxic"), "kinds")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # texts stay where they are: the ids that choose go to them, a block at a time
+    blocks, found = max(1, -(-kinds.count() // MOST_BROADCAST)), None
+    for block in range(blocks):
+        ids = kinds.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block)
+        held = own.join(F.broadcast(ids), "doc_id")
+        # the empty word is in every document and counts them
+        held = held.select("stratum", "toxic", F.explode(F.expr(f"array_union(array(''), array_distinct({_letters('text')}))")).alias("word"))
+        counted = materialise(held.groupBy("stratum", "word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("g")), "words")
+        found = counted if found is None else found.union(counted)
+    words = found if blocks == 1 else materialise(found.groupBy("stratum", "word").agg(F.sum("t").alias("t"), F.sum("g").alias("g")), "words")
     sizes = words.where("word = ''").select("stratum", F.col("t").alias("all_t"), F.col("g").alias("all_g"))
     marked = words.where(f"word != '' AND t >= {LEAST_DOCS}").join(sizes, "stratum").where(f"t >= {LEAST_SHARE} * all_t AND t * (all_g + 1) >= {LEAST_LIFT} * all_t * (g + 0.5)")
     return [r["word"] for r in marked.groupBy("word").agg(F.sum("t").alias("t")).orderBy(F.desc("t"), "word").limit(MOST_WORDS).collect()]
