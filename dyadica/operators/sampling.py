@@ -48,9 +48,8 @@ def surviving(data: DataFrame, source: DataFrame, radius: float, min_length: int
 
 def vc_counts(data: DataFrame, source: DataFrame, radius: float, min_length: int = 1, **how) -> DataFrame:
     """(tid, c): surviving pathlets a trajectory."""
-    if not how.get("exact", True):
-        return counting.surviving_by_cells(data, source, radius, min_length, how.get("side") or 0.2 * radius)
-    return surviving(data, source, radius, min_length, **how).groupBy("tid").agg(F.count("*").alias("c"))
+    side = None if how.get("exact", True) else how.get("side") or 0.2 * radius
+    return counting.survivors(data, source, radius, min_length, side)
 
 
 def rough_counts(data: DataFrame, source: DataFrame, radius: float, min_length: int = 1, least: bool = False, **how) -> DataFrame:
@@ -58,7 +57,7 @@ def rough_counts(data: DataFrame, source: DataFrame, radius: float, min_length:
     if how.get("exact", True):
         count = lambda w: counting.near_marks(data, ends(source, min_length, w), radius).withColumnRenamed("c", w)
     else:
-        count = lambda w: near(data, ends(source, min_length, w), radius, **how).groupBy("tid").agg(F.count("*").alias(w))
+        count = lambda w: _by_cells(data, ends(source, min_length, w), radius, how.get("side") or 0.2 * radius).withColumnRenamed("c", w)
     out = count("l")
     if least and min_length >= 3:
         return out.join(count("r"), "tid").select("tid", F.least("l", "r").alias("c"))
@@ -72,8 +71,11 @@ def by_near_pathlets(data: DataFrame, source: DataFrame, radius: float, min_leng
 
 def turbo_counts(data: DataFrame, source: DataFrame, radius: float, min_length: int = 1, side: float | None = None) -> DataFrame:
     """(tid, c): sums over touched cells of the pathlets that begin there, counted by cell beforehand."""
-    side = side or 0.2 * radius
-    held = ends(source, min_length, "l").groupBy(cell("x", side).alias("cx"), cell("y", side).alias("cy")).agg(F.count("*").alias("n"))
+    return _by_cells(data, ends(source, min_length, "l"), radius, side or 0.2 * radius)
+
+
+def _by_cells(data: DataFrame, marks: DataFrame, radius: float, side: float) -> DataFrame:
+    held = marks.groupBy(cell("x", side).alias("cx"), cell("y", side).alias("cy")).agg(F.count("*").alias("n"))
     return touched_cells(data, radius, side).join(bounded(held), ["cx", "cy"]).groupBy("tid").agg(F.sum("n").alias("c"))
 
 
@@ -104,10 +106,9 @@ def capacity(sizes: dict[int, int], k: int) -> bool:
     return True
 
 
-def pathlet_vc(data: DataFrame, source: DataFrame, radius: float, min_length: int = 1, **how) -> int:
+def pathlet_vc(data: DataFrame, source: DataFrame, radius: float, min_length: int = 1) -> int:
     """Bound from the pathlets' side: each covers at most one more than the trajectories near both its ends; the largest k that their sizes have capacity for."""
-    both = near(data, ends(source, min_length, "l"), radius, **how).select("tid", "mother", "node").distinct().join(near(data, ends(source, min_length, "r"), radius, **how).select("tid", "mother", "node").distinct(), ["tid", "mother", "node"])
-    covered = both.groupBy("mother", "node").agg(F.count("*").alias("c"))
+    covered = counting.near_both_ends(data, source, radius, min_length)
     sizes = {r["c"] + 1: r["n"] for r in covered.groupBy("c").agg(F.count("*").alias("n")).collect()}
     k = 0
     while capacity(sizes, k + 1):
@@ -118,7 +119,7 @@ def pathlet_vc(data: DataFrame, source: DataFrame, radius: float, min_length: in
 def pathlet_aware_vc(data: DataFrame, source: DataFrame, radius: float, min_length: int = 1, **how) -> int:
     """The VC bound, lowered while the pathlets' sizes have no capacity for it."""
     d = h_index(vc_counts(data, source, radius, min_length, **how)).first()["d"]
-    return min(d, pathlet_vc(data, source, radius, min_length, **how))
+    return min(d, pathlet_vc(data, source, radius, min_length))
 
 
 def draw(trajectories: DataFrame, size: int, seed: int = 0) -> DataFrame:

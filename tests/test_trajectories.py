@@ -353,3 +353,16 @@ def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(geometry, "MOST_BROADCAST", 0)
     got = sampling.turbo_counts(p, p, 6.0, 2, 3.0)
     assert "BroadcastHashJoin" not in plan_of(got) and sorted(map(tuple, got.collect())) == want
+
+
+def test_counts_by_exact_ends_are_those_of_the_listed_pairs(spark, monkeypatch):
+    from dyadica.operators import counting
+
+    p = frame(spark, cross(6, 70, 17))
+    begin, end = (sampling.near(p, sampling.ends(p, 2, w), 4.0).select("tid", "mother", "node").distinct() for w in "lr")
+    both = {(r.mother, r.node): r["count"] for r in begin.join(end, ["tid", "mother", "node"]).groupBy("mother", "node").count().collect()}
+    want = {r.tid: r["count"] for r in sampling.surviving(p, p, 4.0, 2).groupBy("tid").count().collect()}
+    for marks in (500_000, 30):
+        monkeypatch.setattr(counting, "BLOCK_MARKS", marks)
+        assert {(r.mother, r.node): r.c for r in counting.near_both_ends(p, p, 4.0, 2).collect()} == both
+        assert {r.tid: r.c for r in sampling.vc_counts(p, p, 4.0, 2).collect()} == want
