@@ -7,9 +7,10 @@ some segment holds none, and then one of five blocks of the other two holds none
 two segments hold one each, and then half of the second holds none. So a fingerprint
 has 145 variants: a segment with a block of the others, and a segment with one of its
 bits deleted and half of another one. Each keeps 29 to 32 bits, so that few fingerprints
-share a variant by chance; fingerprints linked agree in one at least. Variants meet in an
-equality join and pairs are verified. Buckets' least fingerprints are minima combined
-before the shuffle; hot keys are salted.
+share a variant by chance; fingerprints linked agree in one at least. Every variant holds
+one of five routes whole (the first segment, a half of one of the others), so a fingerprint
+is shuffled five times, not 145: the kernel makes a route's variants where they meet,
+verifies by distance and yields a spanning forest, never all pairs of a bucket.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero,
 linked like any other; a text of one to three words is one shingle; repeated rows
@@ -52,6 +53,21 @@ def _masks() -> list[int]:
 MASKS = _masks()
 
 
+def _routes() -> list[tuple[int, list[int]]]:
+    """(bits that decide where a fingerprint goes, variants that keep them all); each variant is in one route."""
+    halves = [(at, at + width // 2, at + width) for at, width in SEGMENTS[1:]]
+    spans = [(0, SEGMENTS[0][1])] + [(a, b) for lo, mid, hi in halves for a, b in ((lo, mid), (mid, hi))]
+    routes = [((1 << b) - (1 << a), []) for a, b in spans]
+    for m in MASKS:
+        next(held for part, held in routes if part & m == part).append(m)
+    return routes
+
+
+ROUTES = _routes()
+#: Comparisons within one bucket before it is split by further bits.
+MOST_COMPARED = 1 << 24
+
+
 def fingerprints_of(texts: list[bytes]) -> np.ndarray:
     """Unsigned fingerprints of UTF-8 texts."""
     words, offsets = word_lists(texts, lower=True)
@@ -93,26 +109,100 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(kernel, f"doc_id {kind}, fp long")
 
 
+def _forest(n: int, pairs: list[np.ndarray]) -> np.ndarray:
+    """Rows (root, member) of a spanning forest of pairs of places under n, the root the least place."""
+    a, b = np.concatenate([np.zeros((0, 2), np.int64), *pairs]).T
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        least = np.minimum(x, y)
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        while (label[label] != label).any():
+            label = label[label]
+    on = np.flatnonzero(label != np.arange(n))
+    return np.column_stack([label[on], on])
+
+
+def _near(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64)) <= distance
+
+
+def _grown(fps: np.ndarray, mask: int, distance: int) -> np.ndarray:
+    """:func:`forest` of one bucket: components grow point by point, and what is reached is compared no more."""
+    pairs, rest, compared = [], np.arange(len(fps)), 0
+    while len(rest) > 1:
+        root, front, rest = rest[0], [rest[0]], rest[1:]
+        while front and len(rest):
+            compared += len(rest)
+            near = _near(fps[rest], fps[front.pop()], distance)
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                pairs.append(np.column_stack([np.full(len(found), root), found]))
+                front += found.tolist()
+            if compared > MOST_COMPARED:  # of the bits not kept, pairs agree in one of these blocks
+                bits = [b for b in range(64) if not mask >> b & 1]
+                cut = [bits[i * len(bits) // (distance + 1) : (i + 1) * len(bits) // (distance + 1)] for i in range(distance + 1)]
+                return forest(fps, [mask | sum(1 << b for b in block) for block in cut], distance)
+    return _forest(len(fps), pairs)
+
+
+def forest(fps: np.ndarray, masks: list[int], distance: int) -> np.ndarray:
+    """Rows (root, member), places in the distinct signed ``fps``: a spanning forest of all that is linked within buckets of some mask."""
+    label = np.arange(len(fps))
+    for mask in masks:
+        keys = fps.view(np.uint64) & np.uint64(mask)
+        ordered = np.sort(keys)
+        shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if not len(shared):
+            continue
+        at = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, keys), len(shared) - 1)] == keys)
+        at = at[np.argsort(keys[at], kind="stable")]
+        begin = np.flatnonzero(np.diff(keys[at], prepend=~keys[at[:1]]))
+        size = np.diff(begin, append=len(at))
+        hub = np.repeat(at[begin], size)
+        near = _near(fps[at], fps[hub], distance)
+        pairs = [np.column_stack([hub, at])[near & (label[at] != label[hub])]]
+        # left to compare: a far one, a third, and not yet all in one component
+        several = np.minimum.reduceat(label[at], begin) < np.maximum.reduceat(label[at], begin)
+        for i in np.flatnonzero((np.add.reduceat(~near, begin) > 0) & (size > 2) & several).tolist():
+            own = at[begin[i] : begin[i] + size[i]]
+            pairs.append(own[_grown(fps[own], mask, distance)])
+        if sum(map(len, pairs)):
+            on = np.flatnonzero(label != np.arange(len(fps)))
+            tree = _forest(len(fps), [np.column_stack([label[on], on]), *pairs])
+            label[tree[:, 1]] = tree[:, 0]
+    on = np.flatnonzero(label != np.arange(len(fps)))
+    return np.column_stack([label[on], on])
+
+
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs ``(a, b)`` of distinct fingerprints ``fp`` that connect what is linked at ``distance`` (4 at most) or fewer bits.
 
-    In a bucket, fingerprints within the distance of its smallest one meet that one alone:
-    of two such, both are linked to the smallest, whose own pairs are smaller, so that
-    by induction the components stay the same while a dense ball of near copies costs
-    one comparison each. Only fingerprints far from the smallest meet all others.
+    A fingerprint goes to the task of each route's bits. There all that share a variant
+    are compared and a spanning forest is yielded: at most one pair a fingerprint and
+    route, however many are linked.
     """
     if not 0 <= distance <= 4:
         raise ValueError("the variants hold for a distance of 4 at most")
-    masks = ", ".join(f"{m - (1 << 64) if m >> 63 else m}L" for m in MASKS)
-    spread = prints.select("fp").repartition(prints.sparkSession.sparkContext.defaultParallelism * 4, "fp")
-    variants = spread.withColumn("key", F.explode(F.expr(f"transform(array({masks}), (m, i) -> xxhash64(i, fp & m))")))
-    buckets = materialise(variants.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = materialise(join_hot(variants, buckets, ["key"], "n").select("fp", "key", "hub"), "variants")
-    shared = shared.withColumn("far", F.expr(f"bit_count(fp ^ hub) > {distance}"))
-    spokes = shared.where("NOT far AND fp != hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
-    far, each = shared.where("far").select("key", F.col("fp").alias("a")), shared.select("key", F.col("fp").alias("b"), F.col("far").alias("both"))
-    pairs = far.join(each.hint("merge"), "key").where(f"(a < b OR NOT both) AND bit_count(a ^ b) <= {distance}")
-    return spokes.union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        route, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        for r, (_, masks) in enumerate(ROUTES):
+            own = np.unique(fps[route == r])
+            a, b = forest(own, masks, distance).T
+            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b])], names=["a", "b"])
+
+    parts = ", ".join(f"{part - (1 << 64) if part >> 63 else part}L" for part, _ in ROUTES)
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism * 4, prints.count() * len(ROUTES) >> 20)
+    sent = prints.select(F.explode(F.array(*[F.lit(r).cast("byte") for r in range(len(ROUTES))])).alias("route"), "fp").repartition(tasks, "route", F.expr(f"fp & array({parts})[route]"))
+    return materialise(sent.mapInArrow(kernel, "a long, b long"), "variants").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:

@@ -100,6 +100,23 @@ def test_simhash_buckets_are_not_shared_by_chance(spark, monkeypatch):
     assert sizes["variants"].count() <= 20
 
 
+def test_simhash_links_of_a_ball_grow_with_its_size(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rnd, centre = random.Random(11), 0x0123456789ABCDEF
+    ball = sorted({centre ^ sum(1 << b for b in rnd.sample(range(62), rnd.randint(1, 5))) for _ in range(600)})
+    assert simhash.links(spark.createDataFrame([(x,) for x in ball], "fp long")).count() <= 5 * len(ball)
+    # buckets that are split, and components that only others' links join
+    monkeypatch.setattr(simhash, "MOST_COMPARED", 100)
+    fps = np.array(ball + [~x for x in ball[:50]], np.int64)
+    fps.sort()
+    tree = simhash.forest(fps, [0], 4)
+    reach = least_reachable([(i, x % (1 << 64)) for i, x in enumerate(fps.tolist())])
+    assert {(m, r) for r, m in tree.tolist()} == {(i, reach[x % (1 << 64)]) for i, x in enumerate(fps.tolist()) if reach[x % (1 << 64)] != i}
+
+
 def test_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
     rows, table = spark.range(200).selectExpr("id % 50 AS k", "id"), common.materialise(spark.range(50).selectExpr("id AS k", "4L AS n"), "few")
     monkeypatch.setattr(common, "MOST_BROADCAST", 49)
