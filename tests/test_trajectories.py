@@ -245,6 +245,26 @@ def test_greedy_covers_every_point_once(seed):
     assert clustering.most_then_longest(data, 2.0, 1) and clustering.bbgll_by_sizes(data, 2.0)
 
 
+@pytest.mark.parametrize("bits", [1024, 7])
+def test_rounds_score_again_only_what_covered_points_touch(monkeypatch, bits):
+    monkeypatch.setattr(clustering, "BITS", bits)
+    rnd = np.random.default_rng(8)
+    xs, ys = [rnd.uniform(0, 12, n) for n in (9, 14, 1, 11)], [rnd.uniform(0, 12, n) for n in (9, 14, 1, 11)]
+    make = lambda: clustering.Data([3, 5, 8, 9], xs, ys)
+    w = clustering.Weights(1.0, 0.005, 128.0)
+    for d2 in (0.5, 4.0, 16.0, 300.0):
+        for rule, candidates in ((clustering.by_coverage_per_cost(0), clustering.tree_intervals), (clustering.by_coverage_per_cost(0.1), clustering.all_intervals), (clustering.by_cardinality(2), clustering.all_intervals), (clustering.by_length(3), clustering.all_intervals), (clustering.by_vertices(1, 0.5, 2.0), clustering.tree_intervals), (clustering.by_gamma(make(), w), clustering.tree_intervals)):
+            whole = clustering.greedy(make(), lambda data, d2=d2, rule=rule, candidates=candidates: clustering.best_cluster(data, d2, rule, candidates))
+            calls = []
+            counted = lambda ref, members, rule=rule, calls=calls: calls.append(ref) or rule(ref, members)
+            if hasattr(rule, "least"):
+                counted.least = rule.least
+            kept = clustering.greedy(make(), clustering.best_by_rounds(d2, counted, candidates))
+            assert [(c.ref, c.members) for c in kept] == [(c.ref, c.members) for c in whole]
+            if d2 == 0.5 and bits > 35 and candidates is clustering.tree_intervals:
+                assert len(calls) < 2 * len(set(calls))  # not once a round
+
+
 def members_by_force(data, ref, d2):
     """Other trajectories with a match, and greedy disjoint ones; at least those counted by reachability."""
     block = data.live()
