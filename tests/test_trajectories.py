@@ -265,6 +265,28 @@ def test_rounds_score_again_only_what_covered_points_touch(monkeypatch, bits):
                 assert len(calls) < 2 * len(set(calls))  # not once a round
 
 
+def test_longest_cluster_sweeps_few_columns(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    xs, ys = [rnd.uniform(0, 30, 60) for _ in range(4)], [rnd.uniform(0, 30, 60) for _ in range(4)]
+    make = lambda: clustering.Data([1, 2, 4, 7], xs, ys)
+    sweep, columns = clustering.start_sweep, []
+
+    def counted(*a):
+        for found in sweep(*a):
+            columns.append(found[0])
+            yield found
+
+    plain = clustering.best_cluster(make(), 64.0, lambda ref, members: clustering.by_length(3)(ref, members), clustering.all_intervals)
+    monkeypatch.setattr(clustering, "start_sweep", counted)
+    best = clustering.best_cluster(make(), 64.0, clustering.by_length(3), clustering.all_intervals)
+    assert (best.ref, best.members) == (plain.ref, plain.members)
+    assert len(columns) < 4 * 60 * 60 / 2 / 5
+    monkeypatch.undo()
+    t = spark.createDataFrame([(i, 60, x.tolist(), y.tolist()) for i, x, y in zip((1, 2, 4, 7), xs, ys, strict=True)], "tid long, n int, xs array<double>, ys array<double>")
+    rows = clustering.bbgll(t, 64.0, 3, step=7).collect()
+    assert [(r.tid, r.l, r.r) for r in rows] == [((1, 2, 4, 7)[a], b, c) for a, b, c in plain.members]
+
+
 def members_by_force(data, ref, d2):
     """Other trajectories with a match, and greedy disjoint ones; at least those counted by reachability."""
     block = data.live()
