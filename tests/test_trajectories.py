@@ -265,6 +265,25 @@ def test_rounds_score_again_only_what_covered_points_touch(monkeypatch, bits):
                 assert len(calls) < 2 * len(set(calls))  # not once a round
 
 
+def test_rounds_on_simplified_curves_sweep_again_only_runs_that_changed(monkeypatch):
+    sweep, calls = clustering.start_sweep, []
+    monkeypatch.setattr(clustering, "start_sweep", lambda *a: calls.append(1) or sweep(*a))
+    rnd = np.random.default_rng(12)
+    sizes = (19, 24, 1, 16, 22)
+    xs, ys = [np.cumsum(rnd.uniform(-2, 2, n)) for n in sizes], [np.cumsum(rnd.uniform(-2, 2, n)) for n in sizes]
+    make = lambda: clustering.Data([3, 5, 8, 9, 11], xs, ys)
+    for factor in (0.2, 1.0):
+        for d2 in (0.01, 1.0, 4.0, 16.0, 300.0):
+            rule = clustering.by_coverage_per_cost(0)
+            whole = clustering.greedy(make(), lambda data, d2=d2, factor=factor, rule=rule: clustering.simplified_best(data, d2, rule, factor))
+            plain = len(calls)
+            calls.clear()
+            rounds = clustering.greedy(make(), clustering.simplified_by_rounds(d2, factor))
+            assert [(c.ref, c.members) for c in rounds] == [(c.ref, c.members) for c in whole]
+            assert d2 != 0.01 or len(calls) < plain / 2  # not whole once a round
+            calls.clear()
+
+
 def test_longest_cluster_sweeps_few_columns(spark, monkeypatch):
     rnd = np.random.default_rng(5)
     xs, ys = [rnd.uniform(0, 30, 60) for _ in range(4)], [rnd.uniform(0, 30, 60) for _ in range(4)]
