@@ -25,7 +25,7 @@ def large(monkeypatch):
         raise AssertionError("swept")
 
     def only():
-        monkeypatch.setattr(mining, "MOST_POINTS", 0)
+        monkeypatch.setattr(mining, "BLOCK_POINTS", 0)
         monkeypatch.setattr(mining, "label_counts", no)
 
     yield only
@@ -65,3 +65,14 @@ def test_points_at_the_radius_and_far_away_are_counted_exactly():
                 hit = one & two
                 hit[1:] |= one[:-1] & two[1:] & ~sample.starts[1:]
                 assert found.get((m, a, a + 1), 0) == len(set(sample.owner[hit].tolist()))
+
+
+def test_a_net_keeps_mothers_without_a_row_for_each_pair(spark):
+    t, net = packed(spark, 11, [3, 9, 1, 14, 6, 8, 2, 20], 15), packed(spark, 12, [5, 7, 1], 15)
+    near = mining._near(t, net, 2.0)
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
+    points = {r.tid: list(zip(r.xs, r.ys, strict=True)) for r in net.collect()}
+    marks = [p for ps in points.values() for p in ps]
+    kept = {r.tid for r in t.collect() if any((x - a) ** 2 + (y - b) ** 2 <= 4.0 for x, y in zip(r.xs, r.ys, strict=True) for a, b in marks)}
+    assert {r.tid for r in near.collect()} == kept
+    assert 0 < len(kept) < 8
