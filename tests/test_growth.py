@@ -76,3 +76,33 @@ def test_a_net_keeps_mothers_without_a_row_for_each_pair(spark):
     kept = {r.tid for r in t.collect() if any((x - a) ** 2 + (y - b) ** 2 <= 4.0 for x, y in zip(r.xs, r.ys, strict=True) for a, b in marks)}
     assert {r.tid for r in near.collect()} == kept
     assert 0 < len(kept) < 8
+
+
+def test_supporters_of_a_large_sample_are_listed_where_they_are_found(spark, monkeypatch):
+    t, other = packed(spark, 1, [1, 2, 3, 5, 8, 13, 21, 17, 1, 9, 30, 12], 20), packed(spark, 51, [4, 11, 2, 25], 15, spread=45.0)
+
+    def results():
+        out = [mining.frequent(m, s, 9.0, f, min_length=k, keep_ids=True, joined=j) for m, s, f in ((t, t, 0.3), (other, t, 0.05), (t, other, 0.5)) for k in (2, 3) for j in (False, True)]
+        return [(d.schema, sorted(map(tuple, d.collect()))) for d in out]
+
+    swept = results()
+    assert sum(len(rows) for _, rows in swept) > 200
+
+    def no(*_, **__):
+        raise AssertionError("swept")
+
+    monkeypatch.setattr(mining, "BLOCK_POINTS", 0)
+    monkeypatch.setattr(mining, "labels", no)
+    for batch in (2_000_000, 7):
+        monkeypatch.setattr(growth, "BATCH_IDS", batch)
+        for (schema, rows), (wanted, known) in zip(results(), swept, strict=True):
+            assert (schema.simpleString(), rows) == (wanted.simpleString(), known)
+
+
+def test_ids_in_text():
+    tids = np.array([-120, -15, -3, 0, 7, 9, 10, 99, 100, 12345])
+    texts = growth._Texts(tids)
+    rnd = np.random.default_rng(3)
+    for _ in range(50):
+        ranks = np.flatnonzero(rnd.random(len(tids)) < rnd.random())
+        assert texts.joined(ranks).decode() == ",".join(map(str, tids[ranks].tolist()))
