@@ -46,15 +46,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadica.llm.common import chunked, discard, give_back, materialise, mix64, word_hashes, word_lists
+from dyadica.llm.common import chunked, discard, give_back, materialise, mix64, word_hashes
 from dyadica.llm.seating import CLASSES, Core, Parent, Seats, Totals, binned, draw, draw_discount, rho
 
 END = 0
+#: Stands for the end of a text among lower-cased words, none of which has this letter.
+_MARK = b"A"
 SHARD_BYTES = 6 << 20
 #: Shards by buckets.
 SHARDS_EACH = 1
-#: Text bytes cut into words at a time.
-PIECE = 1 << 20
 #: Shards at least, where each has a megabyte, so that small inputs use all cores.
 LEAST_SHARDS = 16
 HOT_PARTS = 4096
@@ -66,25 +66,44 @@ _CTX = (1 << 40) - 1
 _PAIR = 40
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys (60 bits), contexts (class, then 34 bits of the hash of the word before), and the offset of each text's tokens."""
-    words, offsets = word_lists(texts, lower=True)
-    n = len(words)
-    keys = np.maximum(word_hashes(words) >> np.uint64(4), np.uint64(1)).astype(np.int64)
-    letters = np.frombuffer(b"".join(words), np.uint8)
-    lens = np.fromiter(map(len, words), np.int64, n)
-    tail = np.cumsum(lens) - 1
+def _keys(words: list[bytes]) -> np.ndarray:
+    """60 bits of the hash of each word."""
+    return np.maximum(word_hashes(words) >> np.uint64(4), np.uint64(1)).astype(np.int64)
+
+
+def _words(texts: list[bytes]) -> pa.Array:
+    r"""The lower-cased words ``[^\x20\x09-\x0D]+`` of each text, a mark after each text's."""
+    joined = np.frombuffer(b" ".join([x for t in texts for x in (t.lower(), _MARK)]), np.uint8)
+    own = (joined > 32) | (joined != 32) & (joined - np.uint8(9) > 4)  # 9 to 13 are spaces too
+    begin = own.copy()
+    begin[1:] &= ~own[:-1]
+    letters, begin = joined[own], np.flatnonzero(begin[own])
+    return pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(letters))), pa.py_buffer(letters)])
+
+
+def _cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each token, keys by number, contexts that numbers make for the next token, offsets of texts). Only distinct words become objects and are hashed."""
+    cut = _words(texts).dictionary_encode()
+    token, words = cut.indices.to_numpy(), cut.dictionary
+    del cut
+    begin, letters = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1), np.frombuffer(words.buffers()[2], np.uint8)
+    raw, at = letters.tobytes(), begin.tolist()
+    words = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+    end = words.index(_MARK) if words else 0
+    keys, lens = _keys(words), np.diff(begin)
+    tail = begin[1:] - 1
     last = letters[tail].astype(np.uint64)
-    before = np.where(lens > 1, letters[np.maximum(tail - 1, 0)], 0).astype(np.uint64) if n else last
+    before = np.where(lens > 1, letters[np.maximum(tail - 1, 0)], 0).astype(np.uint64)
     kind = np.where(np.isin(last, np.frombuffer(b".!?", np.uint8).astype(np.uint64)), 1, 2 + (mix64(last << np.uint64(8) | before) % np.uint64(CLASSES - 2)).astype(np.int64)).astype(np.int64)
-    ends = offsets[1:] + np.arange(len(texts))
-    all_keys, after = np.zeros(n + len(texts), np.int64), np.zeros(n + len(texts) + 1, np.int64)
-    own = np.ones(n + len(texts), bool)
-    own[ends] = False
-    all_keys[own] = keys
-    all_keys[~own] = END
-    after[1:][own] = kind << _HASH | (keys & ((1 << _HASH) - 1))
-    return all_keys, after[:-1], np.concatenate([[0], ends + 1])
+    after = kind << _HASH | (keys & ((1 << _HASH) - 1))
+    keys[end : end + 1], after[end : end + 1] = END, 0
+    return token, keys, after, np.concatenate([[0], np.flatnonzero(token == end) + 1])
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word keys (60 bits), contexts (class, then 34 bits of the hash of the word before), and the offset of each text's tokens."""
+    token, keys, after, offsets = _cut(texts)
+    return keys[token], np.concatenate([[0], after[token]])[:-1], offsets
 
 
 @dataclass(frozen=True)
@@ -109,21 +128,6 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(x, prepend=x[0] - 1)) if len(x) else np.zeros(0, np.int64)
 
 
-def _in_pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens of all texts, cut a piece at a time."""
-    found, held, size = [], [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= PIECE:
-            found.append(tokens(held))
-            held, size = [], 0
-    if held or not found:
-        found.append(tokens(held))
-    begin = np.cumsum([0, *[len(f[0]) for f in found]])
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([[0], *[f[2][1:] + b for f, b in zip(found, begin.tolist(), strict=False)]])
-
-
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order and the place of each element among them; hashed, so that only distinct ones are sorted."""
     place, values = pd.factorize(x)
@@ -148,17 +152,19 @@ class Pairs:
     """A shard's distinct pairs of word and context by bucket, word and context, and which of them each token is."""
 
     def __init__(self, texts: list[bytes], trains: np.ndarray, layout: Layout):
-        keys, contexts, self.offsets = _in_pieces(texts)
-        self.words, word = _distinct(keys)
-        del keys
-        word <<= _PAIR
-        word |= contexts
-        del contexts
+        token, keys, after, self.offsets = _cut(texts)
+        self.words, rank = _distinct(keys)
+        word = rank[token] << _PAIR
+        word[1:] |= after[token[:-1]]
+        # each of them has a token after it
+        after.sort()
+        self.contexts = after[_runs(after)]
+        del token, keys, after, rank
         both, self.token = np.unique(word, return_inverse=True)
         del word
         n = np.bincount(self.token, np.repeat(trains, np.diff(self.offsets)), len(both)).astype(np.int64)
         bucket = layout.bucket(self.words[both >> _PAIR], both & _CTX)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if layout.buckets <= 1 << 16 else bucket, kind="stable")  # by digits, where short
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.token = place[self.token]
@@ -171,7 +177,7 @@ class Pairs:
 
     def contexts_by(self, buckets: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
         """Distinct contexts by their own bucket (the remainder of their number), and where each bucket's stand."""
-        contexts = np.unique(self.context)
+        contexts = self.contexts
         bucket = contexts % buckets
         order = np.argsort(bucket, kind="stable")
         begin = _runs(bucket[order])
@@ -253,14 +259,16 @@ def hot_words(docs: DataFrame, buckets: int) -> Layout:
         held, size = [], 0
 
         def flushed() -> pa.RecordBatch:
-            words, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n * HOT_PARTS > size
-            return pa.RecordBatch.from_arrays([pa.array(np.append(words[often], -1)), pa.array(np.append(n[often], size))], names=["word", "n"])
+            counted = pa.chunked_array(held).value_counts()
+            words, n = counted.field("values"), counted.field("counts").to_numpy()
+            often = np.flatnonzero(n * HOT_PARTS > size)
+            words = words.take(pa.array(often)).to_pylist()
+            keys = np.where([w == _MARK for w in words], END, _keys(words)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1)), pa.array(np.append(n[often], size))], names=["word", "n"])
 
         for _, texts in chunked(batches, "text"):
-            words, _ = word_lists(texts, lower=True)
-            held += [np.maximum(word_hashes(words) >> np.uint64(4), np.uint64(1)).astype(np.int64), np.zeros(len(texts), np.int64)]
-            size += len(words) + len(texts)
+            held.append(_words(texts))
+            size += len(held[-1])
             if size >= HELD:
                 yield flushed()
                 held, size = [], 0

@@ -195,3 +195,20 @@ def test_discounts_are_drawn_near_the_truth():
             sizes.append(1)
     drawn = seating.draw_discount(rng, [(1.0, x, 1) for x in sizes], [(1.0, len(sizes))], 1.0)
     assert abs(drawn - d) < 0.06
+
+
+def test_words_are_cut_like_split_and_each_distinct_one_is_hashed_once(monkeypatch):
+    hashed = []
+    whole = lm.word_hashes
+    monkeypatch.setattr(lm, "word_hashes", lambda w: hashed.extend(w) or whole(w))
+    odd = [b"", b" ", b"A a A", b"\x1c \x1f\x0b\x0cX\r\n\tx", b"A", "Ünï Ä ä".encode(), b"\x00 a\x00 b\x00\x00", b"a a. a! " * 50]
+    for texts in ([b""], odd, odd[::-1], [b"A"]):
+        hashed.clear()
+        pairs = lm.Pairs(texts, np.ones(len(texts), bool), lm.Layout(5, np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        cut = [t.lower().split() for t in texts]
+        assert len(hashed) == len(set(hashed)) and set(hashed) - {lm._MARK} == {w for ws in cut for w in ws}
+        key = {w: max(1, int(whole([w])[0]) >> 4) for ws in cut for w in ws}
+        want = [k for ws in cut for k in [*(key[w] for w in ws), lm.END]]
+        assert lm.tokens(texts)[0].tolist() == want == pairs.words[pairs.word[pairs.token]].tolist()
+        assert pairs.offsets.tolist() == np.cumsum([0, *(len(ws) + 1 for ws in cut)]).tolist()
+        assert pairs.contexts_by(3)[0].tolist() == sorted(set(pairs.context.tolist()), key=lambda c: (c % 3, c))
