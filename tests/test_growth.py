@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from dyadica.operators import growth, mining, simplify
+from dyadica.operators import growth, mining, reach, simplify
 from dyadica.sources import tables
 
 
@@ -106,3 +107,21 @@ def test_ids_in_text():
     for _ in range(50):
         ranks = np.flatnonzero(rnd.random(len(tids)) < rnd.random())
         assert texts.joined(ranks).decode() == ",".join(map(str, tids[ranks].tolist()))
+
+
+def test_labels_of_a_large_sample_go_out_without_a_shuffle(spark, monkeypatch):
+    t, other = packed(spark, 21, [1, 2, 3, 5, 8, 13, 21, 17, 1, 9, 30, 12], 20), packed(spark, 71, [4, 11, 2, 25], 15, spread=45.0)
+    got = lambda d: sorted(map(tuple, d.collect()))
+    for m, s in ((t, t), (other, t)):
+        swept, counted = got(reach.labels(m, s, 9.0)), got(reach.label_counts(m, s, 9.0))
+        assert len(swept) > 100
+        monkeypatch.setattr(reach, "BLOCK_POINTS", 25)
+        monkeypatch.setattr(reach, "MOST_LABELS", 10)
+        whole = reach.labels(m, s, 9.0, most_points=0)
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert got(whole) == swept == got(reach.labels(m, s, 9.0, most_points=0, most_held=0))
+        k = reach.labels(m, s, 9.0, most_points=0, counts=True).groupBy("m", "j", "minl").agg(F.sum("k").alias("k"))
+        assert got(k) == counted
+        monkeypatch.undo()
+    assert reach.labels(t.where("tid < 0"), t, 9.0, most_points=0).count() == 0
