@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from tests.test_trajectories import TINY, frame
 
 from dyadica.functions.numeric import frechet, frechet_many
-from dyadica.operators import clustering, rounds
+from dyadica.operators import clustering, mining, rounds
+from dyadica.sources import tables
 
 RULES = [
     (clustering.by_coverage_per_cost(0), clustering.tree_intervals),
@@ -48,3 +50,11 @@ def test_distances_side_by_side_are_those_one_by_one():
     for n in (1, 4, 9):
         a, others = rng.normal(size=(n, 2)), [rng.normal(size=(k, 2)) for k in (7, 1, 3, 12, 1)]
         assert frechet_many(a, others).tolist() == [frechet(a, b) for b in others]
+
+
+def test_seeds_of_one_job_are_those_mined_by_distance(spark):
+    t = tables.pack(frame(spark, TINY))
+    tids = [r["tid"] for r in t.orderBy("tid").select("tid").collect()]
+    found = clustering.mined_seeds(t, [0.25, 1.0, 4.0], 0.5)
+    for d2, seeds in found.items():
+        assert seeds == clustering.pathlet_seeds(mining.frequent(t, t, d2**0.5, 0.5, maximal=True, single_points=False), tids)
